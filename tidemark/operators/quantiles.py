@@ -15,19 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 SMALL = 1_000_000      # values per column the built-in aggregate may hold
-PILOT = 200_000        # pilot values per wanted rank
+PILOT = 50_000         # pilot values per search
 _CHUNK = 48            # targets per aggregate, to stay inside codegen limits
 
 
 @dataclass
 class _Search:
+    """Wanted 0-based order statistics known to lie in one open interval."""
+
     column: str
-    rank: int              # 0-based order statistic
-    low: float | None      # open interval (low, high); None = unbounded
+    ranks: list[int]
+    low: float | None      # None = unbounded
     high: float | None
     below: int             # values <= low
-    inside: int            # values in the open interval
-    value: float | None = None
+    inside: int            # values in the interval
 
 
 def _within(v: Column, s: _Search) -> Column:
@@ -47,65 +48,75 @@ def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
     return out
 
 
-def _narrow(df: DataFrame, searches: list[_Search], small: int, pilot: int) -> None:
-    """Find every order statistic in place."""
-    seed = 1
+def _propose(df: DataFrame, searches: list[_Search], pilot: int, seed: int) -> list:
+    """Two data values per search that probably enclose its ranks."""
+    exprs = []
+    for s in searches:
+        share = min(1.0, pilot / s.inside)
+        picks = min(pilot, s.inside)
+        ps = [(r - s.below) / max(s.inside - 1, 1) for r in s.ranks]
+        spread = 3.0 * math.sqrt(max(ps[0] * (1 - ps[0]), 1.0 / picks) / picks) + 2.0 / picks
+        picked = F.when(_within(F.col(s.column), s) & (F.col("_r") < share), F.col(s.column))
+        ends = F.array(F.lit(max(0.0, min(ps) - spread)), F.lit(min(1.0, max(ps) + spread)))
+        exprs.append(F.percentile(picked, ends))
+    return _aggregate(df.withColumn("_r", F.rand(seed)), exprs)
+
+
+def _narrow(df: DataFrame, searches: list[_Search], small: int, pilot: int) -> dict[tuple[str, int], float]:
+    """Value of every wanted order statistic."""
+    found: dict[tuple[str, int], float] = {}
+    seed = 0
     while True:
-        open_ = [s for s in searches if s.value is None]
-        wide = [s for s in open_ if s.inside > small]
+        wide = [s for s in searches if s.inside > small]
+        searches = [s for s in searches if s.inside <= small]
         if not wide:
             break
-        proposals = []
-        for s in wide:
-            share = min(1.0, pilot / s.inside)
-            p = (s.rank - s.below) / max(s.inside - 1, 1)
-            spread = 3.0 * math.sqrt(max(p * (1 - p), 1.0 / pilot) / max(pilot * 0.5, 1.0)) + 2.0 / pilot
-            picked = F.when(_within(F.col(s.column), s) & (F.col("_r") < share), F.col(s.column))
-            proposals.append(
-                F.percentile(picked, F.array(F.lit(max(0.0, p - spread)), F.lit(min(1.0, p + spread))))
-            )
-        bounds = _aggregate(df.withColumn("_r", F.rand(seed)), proposals)
         seed += 1
+        bounds = _propose(df, wide, pilot, seed)
         counts = []
         for s, b in zip(wide, bounds):
-            a, z = (b[0], b[1]) if b else (s.low, s.high)
             v = F.col(s.column)
-            for cond in (v < a, v == a, (v > a) & (v < z), v == z):
+            a, z = b or (None, None)
+            for cond in (v < a, v == a, (v > a) & (v < z), v == z) if b else ():
                 counts.append(F.count_if(_within(v, s) & cond))
-        got = _aggregate(df, counts)
-        for i, (s, b) in enumerate(zip(wide, bounds)):
+        got = iter(_aggregate(df, counts))
+        for s, b in zip(wide, bounds):
             if not b:
+                searches.append(s)
                 continue
             a, z = float(b[0]), float(b[1])
-            under, at_a, mid, at_z = got[4 * i : 4 * i + 4]
-            if a == z:
-                at_z = 0
-            k = s.rank - s.below
-            if k < under:
-                s.high, s.inside = a, under
-            elif k < under + at_a:
-                s.value = a
-            elif k < under + at_a + mid:
-                s.low, s.high, s.below, s.inside = a, z, s.below + under + at_a, mid
-            elif k < under + at_a + mid + at_z:
-                s.value = z
-            else:
-                gone = under + at_a + mid + at_z
-                s.low, s.below, s.inside = z, s.below + gone, s.inside - gone
-    last = [s for s in searches if s.value is None]
-    if last:
-        exact = _aggregate(
-            df,
-            [
-                F.percentile(
-                    F.when(_within(F.col(s.column), s), F.col(s.column)),
-                    F.lit((s.rank - s.below) / (s.inside - 1) if s.inside > 1 else 0.0),
-                )
-                for s in last
-            ],
+            under, at_a, mid, at_z = (next(got) for _ in range(4))
+            edge = [s.below + under, s.below + under + at_a]
+            edge.append(edge[1] + mid)
+            edge.append(edge[2] + (at_z if z > a else 0))
+            parts: dict[str, list[int]] = {"under": [], "mid": [], "over": []}
+            for r in s.ranks:
+                if r < edge[0]:
+                    parts["under"].append(r)
+                elif r < edge[1]:
+                    found[s.column, r] = a
+                elif r < edge[2]:
+                    parts["mid"].append(r)
+                elif r < edge[3]:
+                    found[s.column, r] = z
+                else:
+                    parts["over"].append(r)
+            if parts["under"]:
+                searches.append(_Search(s.column, parts["under"], s.low, a, s.below, under))
+            if parts["mid"]:
+                searches.append(_Search(s.column, parts["mid"], a, z, edge[1], mid))
+            if parts["over"]:
+                searches.append(_Search(s.column, parts["over"], z, s.high, edge[3], s.below + s.inside - edge[3]))
+    exprs = [
+        F.percentile(
+            F.when(_within(F.col(s.column), s), F.col(s.column)),
+            F.array(*[F.lit((r - s.below) / (s.inside - 1) if s.inside > 1 else 0.0) for r in s.ranks]),
         )
-        for s, v in zip(last, exact):
-            s.value = float(v)
+        for s in searches
+    ]
+    for s, values in zip(searches, _aggregate(df, exprs) if exprs else []):
+        found.update({(s.column, r): float(v) for r, v in zip(s.ranks, values)})
+    return found
 
 
 def exact_quantiles(
@@ -135,18 +146,18 @@ def exact_quantiles(
         rows = _aggregate(src, [F.percentile(F.col(alias[n]), wanted) for n in few])
         out.update({n: list(r) if r is not None else [None] * len(probs) for n, r in zip(few, rows)})
     if many:
-        searches: dict[tuple[str, int], _Search] = {}
+        searches = []
         for n in many:
             for p in probs:
                 h = (counts[n] - 1) * p
-                for rank in {math.floor(h), math.ceil(h)}:
-                    searches[(n, rank)] = _Search(alias[n], rank, None, None, 0, counts[n])
-        _narrow(src, list(searches.values()), small, pilot)
+                ranks = sorted({math.floor(h), math.ceil(h)})
+                searches.append(_Search(alias[n], ranks, None, None, 0, counts[n]))
+        found = _narrow(src, searches, small, pilot)
         for n in many:
             row = []
             for p in probs:
                 h = (counts[n] - 1) * p
-                lo, hi = searches[(n, math.floor(h))].value, searches[(n, math.ceil(h))].value
+                lo, hi = found[alias[n], math.floor(h)], found[alias[n], math.ceil(h)]
                 row.append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
             out[n] = row
     return {n: out[n] for n in names}
