@@ -66,9 +66,12 @@ def mutual_information(
 
     # Every interval end is looked up in the running count of all values: both are
     # sorted together once, ends after (before) the values they include (exclude).
+    # The neighbour itself is one end, exactly; the other end mirrors it.
+    right = F.when(F.col("to") > F.col("value"), F.col("to")).otherwise(F.col("value") + F.col("r"))
+    left = F.when(F.col("to") < F.col("value"), F.col("to")).otherwise(F.col("value") - F.col("r"))
     ends = radius.select("pos", "cls", "value", "freq", "size", "k", F.explode(F.array(
-        F.struct(F.lit(1).alias("sign"), (F.col("value") + F.col("r")).alias("at"), F.when(F.col("r") > 0, 0).otherwise(2).alias("ord")),
-        F.struct(F.lit(-1).alias("sign"), (F.col("value") - F.col("r")).alias("at"), F.when(F.col("r") > 0, 2).otherwise(0).alias("ord")),
+        F.struct(F.lit(1).alias("sign"), right.alias("at"), F.when(F.col("r") > 0, 0).otherwise(2).alias("ord")),
+        F.struct(F.lit(-1).alias("sign"), left.alias("at"), F.when(F.col("r") > 0, 2).otherwise(0).alias("ord")),
     )).alias("e")).select("pos", "cls", "value", "freq", "size", "k", "e.*")
     marks = points.groupBy("pos", "value", "bucket").agg(F.sum("freq").alias("w")).select(
         "pos", F.lit(None).cast(points.schema["cls"].dataType).alias("cls"), "value",
@@ -127,26 +130,32 @@ def _radii(points: DataFrame, neighbours: int, rows_per_bucket: int) -> DataFram
     ).withColumn("_home", chunk).withColumn("_chunk", F.explode("_chunks"))
     w = Window.partitionBy("pos", "cls", "_chunk").orderBy("value")
     k = F.least(F.lit(k0), F.col("size") - 1)
-    near = [F.struct(F.lit(0.0).alias("dist"), (F.col("freq") - 1).alias("freq"))]
+    near = [F.struct(F.lit(0.0).alias("dist"), (F.col("freq") - 1).alias("freq"), F.col("value").alias("to"))]
     for step in range(1, k0 + 1):
         for move in (F.lag, F.lead):
             near.append(
                 F.struct(
                     F.abs(F.col("value") - move("value", step).over(w)).alias("dist"),
                     move("freq", step).over(w).alias("freq"),
+                    move("value", step).over(w).alias("to"),
                 )
             )
     listed = spread.withColumn("_near", F.array(*near)).where("_chunk = _home").withColumn("k", k)
     ordered = F.array_sort(F.filter("_near", lambda c: c["dist"].isNotNull()))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("r"))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("r"), F.lit(0.0).alias("to"))
     walk = F.aggregate(
         ordered,
         start,
         lambda acc, c: F.struct(
-            (acc["seen"] + c["freq"]).alias("seen"), F.when(acc["seen"] >= F.col("k"), acc["r"]).otherwise(c["dist"]).alias("r")
+            (acc["seen"] + c["freq"]).alias("seen"),
+            F.when(acc["seen"] >= F.col("k"), acc["r"]).otherwise(c["dist"]).alias("r"),
+            F.when(acc["seen"] >= F.col("k"), acc["to"]).otherwise(c["to"]).alias("to"),
         ),
     )
-    return listed.select("pos", "cls", "value", "freq", "size", F.col("k").cast("bigint"), walk["r"].alias("r"))
+    done = listed.withColumn("_w", walk)
+    return done.select(
+        "pos", "cls", "value", "freq", "size", F.col("k").cast("bigint"), F.col("_w.r").alias("r"), F.col("_w.to").alias("to")
+    )
 
 
 def best_features(df: DataFrame, features: list[str], target: str, keep: int = 10) -> list[str]:

@@ -13,6 +13,7 @@ LOG_SCHEMA = (
     "step string, detail string, rows_before bigint, rows_after bigint, cols_before int, cols_after int"
 )
 _CAST_SHARE = 0.95
+_HELD = "identifier_held_as_text"   # column metadata: keeps a second repair from undoing the first
 
 
 def missing_word(text: Column) -> Column:
@@ -26,7 +27,7 @@ def trim_and_null(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         if is_text(f.dataType):
             t = strip(q(f.name))
-            out.append(F.when(~missing_word(t), t).alias(f.name))
+            out.append(F.when(~missing_word(t), t).alias(f.name, metadata=f.metadata))
         else:
             out.append(q(f.name))
     return df.select(*out)
@@ -72,8 +73,11 @@ def cast_to_roles(df: DataFrame, keep_apart: list[str] | None = None) -> tuple[D
         expr, f = q(name), facts.get(name)
         role = decide_role(f) if f else None
         if role == "identifier" and f.kind != "text":
-            expr = expr.cast("string")
+            out.append(expr.cast("string").alias(name, metadata={_HELD: True}))
             casts.append(f"{name}->string (identifier)")
+            continue
+        if df.schema[name].metadata.get(_HELD):
+            pass   # an earlier repair made it text on purpose
         elif role == "numeric" and f.kind == "text" and f.parsed >= _CAST_SHARE * f.present:
             expr = coerce_numeric(expr)
             casts.append(f"{name}->numeric")
@@ -82,7 +86,7 @@ def cast_to_roles(df: DataFrame, keep_apart: list[str] | None = None) -> tuple[D
             casts.append(f"{name}->datetime")
         elif role == "categorical" and f.kind == "text":
             casts.append(f"{name}->category")
-        out.append(expr.alias(name))
+        out.append(expr.alias(name, metadata=df.schema[name].metadata))
     return df.select(*out), casts
 
 

@@ -11,9 +11,9 @@ from ..operators.clean import clean, fill_missing, iso_dates
 from ..operators.counts import modes, value_counts
 from ..operators.mutual_info import mutual_information
 from ..operators.neighbours import knn_impute
-from ..operators.profile import compare_quality, profile
+from ..operators.profile import compare_quality, fingerprint, profile
 from ..operators.quantiles import exact_quantiles
-from ..operators.repair import repair_with_log, structural_repair, trim_and_null
+from ..operators.repair import structural_repair, trim_and_null
 from ..operators.roles import infer_roles
 from ..operators.smote import oversample
 from ..operators.standardise import standardise
@@ -28,7 +28,7 @@ from .inputs import CSV_LINES, CURRENCY_TEXT, planted, table
 from .process import choose_route
 from .ranking import rank_recipes, recommend, select_recipe
 from .recipes import (
-    RECIPES, apply_scale, enhance, fit_impute, fit_pca, fit_row_filter, fit_scale, fit_variance, recipe_table,
+    RECIPES, apply_scale, enhance, fit_impute, fit_pca, fit_row_filter, fit_scale, fit_variance,
 )
 from .terrain import characterize
 from .validation import encode_labels, numeric_features, validate_classification
@@ -75,11 +75,10 @@ def profile_dataset(spark, d):
 
 def fingerprint_check(spark, d):
     orders = table(spark, d, "orders")
-    same = profile(orders.repartition(5)).dataset_row["fingerprint"] == profile(orders).dataset_row["fingerprint"]
-    other = profile(orders.withColumn("o_custkey", F.col("o_custkey") + 1)).dataset_row["fingerprint"]
+    base, moved = fingerprint(orders), fingerprint(orders.repartition(5))
+    other = fingerprint(orders.withColumn("o_custkey", F.col("o_custkey") + 1))
     return orders.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(same).alias("same_content"),
-        F.lit(other != profile(orders).dataset_row["fingerprint"]).alias("change_seen"),
+        "n_rows", F.lit(moved == base).alias("same_content"), F.lit(other != base).alias("change_seen")
     )
 
 
@@ -155,8 +154,7 @@ def repair_log(spark, d):
 
 def repair_again(spark, d):
     once, _ = structural_repair(planted(spark, d, "dirty_orders"))
-    twice, log = structural_repair(once)
-    return twice.select(*[q(c).cast("string").alias(c) if c == "total" else q(c) for c in twice.columns]).drop("total")
+    return structural_repair(once)[0]
 
 
 def standard_fields(spark, d):
@@ -214,10 +212,10 @@ def plan_transform(spark, d):
 def plan_rare_levels(spark, d):
     raw = table(spark, d, "part").select(
         "p_partkey",
-        F.when(F.col("p_partkey") % 150 == 0, F.concat(F.lit("odd"), (F.col("p_partkey") % 4).cast("string")))
+        F.when(F.col("p_partkey") % 150 == 0, F.concat(F.lit("odd"), (F.floor(F.col("p_partkey") / 150) % 4).cast("string")))
         .otherwise(F.col("p_type")).alias("kind"),
     )
-    train = raw.where("p_partkey % 600 <> 450")
+    train = raw.where("kind <> 'odd2'")   # one level stays unseen
     plan = build_plan(profile(train.select("kind")))
     fitted = fit_plan(train, plan)
     coded = apply_plan(raw, fitted, ["p_partkey"], rare_levels(train, fitted))
@@ -300,7 +298,6 @@ def rows_zscore(spark, d):
 def rows_guard(spark, d):
     """A filter that would lose a class keeps every row."""
     df = planted(spark, d, "parts").withColumn("spread", F.when(F.col("label") == "small", 1e6).otherwise(F.col("weight")))
-    df = df.where("label <> 'medium' or p_partkey % 2 = 0")
     keep, n, kept = fit_row_filter(df, ["spread"], "label", "iqr")
     return df.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(kept).cast("bigint").alias("kept"), F.lit(keep is None).alias("guarded"))
 
@@ -344,13 +341,6 @@ def principal_axes(spark, d):
     )
 
 
-def recipe_registry(spark, d):
-    width = len(table(spark, d, "lineitem").columns)
-    t = recipe_table(spark)
-    rows = [(r.name, r.output_width(width), ",".join(r.steps(width))) for r in RECIPES.values()]
-    return t.drop("purpose", "idx").join(spark.createDataFrame(rows, "recipe string, output_width int, steps string"), "recipe")
-
-
 def _enhance(name, table_name, ids):
     def run(spark, d):
         return rounded(enhance(planted(spark, d, table_name), name, "label", ids)[0])
@@ -528,8 +518,9 @@ def validation_checks(spark, d):
 
 
 def chosen_features(spark, d):
-    names = numeric_features(table(spark, d, "orders"), "o_orderstatus")
-    return spark.createDataFrame([(n,) for n in names], "feature string")
+    """Numeric columns kept as features, all others dropped."""
+    df = table(spark, d, "orders")
+    return df.select(*[q(c) for c in numeric_features(df, "o_orderstatus")])
 
 
 def encoded_labels(spark, d):
@@ -542,7 +533,7 @@ def routes(spark, d):
     rows = []
     for name, df, target, ids in [
         ("lines", planted(spark, d, "lines"), "label", LINE_IDS),
-        ("contacts", planted(spark, d, "contacts"), "signup_date", None),
+        ("contacts", planted(spark, d, "contacts"), "email", None),
         ("parts", planted(spark, d, "parts"), "label", ["p_partkey"]),
     ]:
         rows.append((name, choose_route(validate_classification(df, target, 3, ids))))
@@ -551,7 +542,7 @@ def routes(spark, d):
 
 def digamma_sizes(spark, d):
     sizes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(sizes.select("l_orderkey", digamma(F.col("n")).alias("digamma")), 9)
+    return rounded(sizes.select("l_orderkey", digamma(F.col("n")).alias("digamma")), 6)
 
 
 QUERIES: dict[str, Query] = {
@@ -599,7 +590,6 @@ QUERIES: dict[str, Query] = {
     "oversample_accounts": oversample_accounts,
     "mutual_info_scores": mutual_info_scores,
     "principal_axes": principal_axes,
-    "recipe_registry": recipe_registry,
     "enhance_phalanx": _enhance("phalanx", "lines", LINE_IDS),
     "enhance_skirmisher": _enhance("skirmisher", "vectors", ["vec_id"]),
     "enhance_heavy_cavalry": _enhance("heavy_cavalry", "accounts", ["c_custkey"]),

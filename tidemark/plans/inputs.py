@@ -54,7 +54,7 @@ LINES = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag AS label,
   CASE WHEN (l_orderkey + l_linenumber) % 29 = 0 THEN NULL ELSE l_quantity END AS quantity,
   CASE WHEN l_orderkey % 97 = 0 THEN l_extendedprice * 50 ELSE l_extendedprice END AS price,
-  CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE l_discount END AS discount,
+  CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_discount END AS discount,
   l_tax AS tax
 FROM lineitem
 """
