@@ -88,24 +88,29 @@ def _canonical_date(t: Column) -> Column:
 
 
 def _build_date(a: Column) -> Column:
-    number = lambda i: a[i].try_cast("int")
     word = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.substring(a[1], 1, 3))).cast("int")
     short = F.length(a[0]) == 2
-    year = number(0) + F.when(short & (number(0) < 70), 2000).when(short, 1900).otherwise(0)
-    month, day = F.coalesce(number(1), word), number(2)
-    swap = (month > 12) & (day <= 12)
     half = F.lower(a[6])
-    hour = F.coalesce(number(3), F.lit(0)) + (
-        F.when((half == "pm") & (number(3) < 12), 12).when((half == "am") & (number(3) == 12), -12).otherwise(0)
-    )
-    return F.try_make_timestamp_ntz(
-        year,
-        F.when(swap, day).otherwise(month),
-        F.when(swap, month).otherwise(day),
-        hour,
-        F.coalesce(number(4), F.lit(0)),
-        F.coalesce(a[5].try_cast(T.DecimalType(16, 6)), F.lit(0).cast(T.DecimalType(16, 6))),
-    )
+    # The decimal parser throws on empty text, which is the usual case.
+    second = F.when(a[5] != "", a[5].try_cast(T.DecimalType(16, 6))).otherwise(F.lit(0).cast(T.DecimalType(16, 6)))
+
+    def build(v: Column) -> Column:
+        year = v[0] + F.when(short & (v[0] < 70), 2000).when(short, 1900).otherwise(0)
+        swap = (v[1] > 12) & (v[2] <= 12)
+        hour = F.coalesce(v[3], F.lit(0)) + (
+            F.when((half == "pm") & (v[3] < 12), 12).when((half == "am") & (v[3] == 12), -12).otherwise(0)
+        )
+        return F.try_make_timestamp_ntz(
+            year,
+            F.when(swap, v[2]).otherwise(v[1]),
+            F.when(swap, v[1]).otherwise(v[2]),
+            hour,
+            F.coalesce(v[4], F.lit(0)),
+            second,
+        )
+
+    number = lambda i: F.when(a[i] != "", a[i].try_cast("int"))
+    return let(F.array(number(0), F.coalesce(number(1), word), number(2), number(3), number(4)), build)
 
 
 def parse_mixed_date(text: Column) -> Column:

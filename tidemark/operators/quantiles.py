@@ -1,8 +1,9 @@
 """Exact quantiles (linear interpolation) that hold at any row count.
 
-``percentile`` keeps every distinct value of a column in one task. It is used
-only where the counted values are few; beyond that the search below narrows an
-open interval around each wanted order statistic. A pilot of bounded size
+``percentile`` keeps every distinct value of a column in one task. Columns of
+counted, limited size are instead pre-aggregated to value counts and read off a
+running count; beyond that the search below narrows an open interval around each
+wanted order statistic. A pilot of bounded size
 proposes the interval, a full counting pass proves where the wanted rank lies,
 so the pilot affects speed only, never the result.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SMALL = 1_000_000      # values per column the built-in aggregate may hold
 PILOT = 50_000         # pilot values per search
@@ -119,6 +120,31 @@ def _narrow(df: DataFrame, searches: list[_Search], small: int, pilot: int) -> d
     return found
 
 
+def _read_off(df: DataFrame, names: list[str], ranks: list[list[int]]) -> list[dict[int, float]]:
+    """Order statistics of limited columns from sorted value counts, all columns in one job."""
+    long = df.select(
+        F.stack(F.lit(len(names)), *[x for i, n in enumerate(names) for x in (F.lit(i), F.col(n))]).alias("pos", "v")
+    )
+    counts = long.where(F.col("v").isNotNull()).groupBy("pos", "v").agg(F.count(F.lit(1)).alias("f"))
+    upto = F.sum("f").over(Window.partitionBy("pos").orderBy("v"))
+    wanted = F.array(*[F.array(*[F.lit(r).cast("bigint") for r in rs]) for rs in ranks])
+    hits = counts.withColumn("c", upto).where(
+        F.exists(wanted[F.col("pos")], lambda r: (r >= F.col("c") - F.col("f")) & (r < F.col("c")))
+    )
+    out: list[dict[int, float]] = [{} for _ in names]
+    for row in hits.collect():
+        for r in ranks[row["pos"]]:
+            if row["c"] - row["f"] <= r < row["c"]:
+                out[row["pos"]][r] = float(row["v"])
+    return out
+
+
+def _interpolate(found: dict[int, float], n: int, p: float) -> float:
+    h = (n - 1) * p
+    lo, hi = found[math.floor(h)], found[math.ceil(h)]
+    return lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: dict[str, Column],
@@ -138,28 +164,24 @@ def exact_quantiles(
     src = df.select(*[columns[n].cast("double").alias(alias[n]) for n in names])
     if counts is None:
         counts = dict(zip(names, _aggregate(src, [F.count(F.col(alias[n])) for n in names])))
-    few = [n for n in names if counts[n] <= small]
-    many = [n for n in names if counts[n] > small]
-    out: dict[str, list[float | None]] = {}
+    ranks = {
+        n: sorted({f((counts[n] - 1) * p) for p in probs for f in (math.floor, math.ceil)}) for n in names if counts[n]
+    }
+    few = [n for n in ranks if counts[n] <= small]
+    many = [n for n in ranks if counts[n] > small]
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
     if few:
-        wanted = F.array(*[F.lit(p) for p in probs])
-        rows = _aggregate(src, [F.percentile(F.col(alias[n]), wanted) for n in few])
-        out.update({n: list(r) if r is not None else [None] * len(probs) for n, r in zip(few, rows)})
+        for n, found in zip(few, _read_off(src, [alias[n] for n in few], [ranks[n] for n in few])):
+            out[n] = [_interpolate(found, counts[n], p) for p in probs]
     if many:
         searches = []
         for n in many:
             for p in probs:
                 h = (counts[n] - 1) * p
-                ranks = sorted({math.floor(h), math.ceil(h)})
-                searches.append(_Search(alias[n], ranks, None, None, 0, counts[n]))
+                searches.append(_Search(alias[n], sorted({math.floor(h), math.ceil(h)}), None, None, 0, counts[n]))
         found = _narrow(src, searches, small, pilot)
         for n in many:
-            row = []
-            for p in probs:
-                h = (counts[n] - 1) * p
-                lo, hi = found[alias[n], math.floor(h)], found[alias[n], math.ceil(h)]
-                row.append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
-            out[n] = row
+            out[n] = [_interpolate({r: found[alias[n], r] for r in ranks[n]}, counts[n], p) for p in probs]
     return {n: out[n] for n in names}
 
 

@@ -32,7 +32,7 @@ def running_total(
     return (
         df.join(offsets, keys)
         .withColumn(out, (F.col("_before") + F.sum(weight).over(inner)))
-        .drop("_before")
+        .select(*[q(c) for c in df.columns], out)
     )
 
 

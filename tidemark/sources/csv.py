@@ -61,7 +61,7 @@ def trim_overflow(fields: Column, width: int) -> Column:
     """Drop blank fields beyond the header width from the right."""
     used = F.coalesce(
         F.array_max(
-            F.transform(fields, lambda v, i: F.when(strip(v) != "", i + 1).otherwise(F.lit(0)))
+            F.transform(fields, lambda v, i: F.when(v.rlike(r"(?U)[^\s]"), i + 1).otherwise(F.lit(0)))
         ),
         F.lit(0),
     )
