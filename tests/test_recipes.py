@@ -114,7 +114,7 @@ def test_oversampling_counts_and_segments(spark):
         own = x[[i for i in range(60) if y[i] == r["label"]]]
         p = np.array([r["a"], r["b"]])
         best = min(
-            abs(np.cross(q - s, p - s)) / (np.linalg.norm(q - s) + 1e-12) + max(0, (p - s) @ (p - q))
+            abs((q - s)[0] * (p - s)[1] - (q - s)[1] * (p - s)[0]) / (np.linalg.norm(q - s) + 1e-12) + max(0, (p - s) @ (p - q))
             for s in own for q in own if (s != q).any()
         )
         assert best < 1e-6

@@ -36,6 +36,11 @@ def rnd(cols: list[str], digits: int = 4) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
 
 
+def zero_safe(x: str, digits: int) -> str:
+    """Rounded value without a negative zero."""
+    return f"CASE WHEN round({x}, {digits}) = 0 THEN 0::DOUBLE ELSE round({x}, {digits}) END"
+
+
 def h52(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT"
 
@@ -90,9 +95,9 @@ rep{tag} AS (SELECT r.pos, column_name, role, n, n - present AS n_missing, round
   FROM roles{tag} r JOIN ext{tag} e ON r.pos = e.pos)"""
 
 
-_REPORT = """SELECT column_name, role, n, n_missing, round(pct_missing, 4) AS pct_missing, n_unique,
-  round(pct_unique, 4) AS pct_unique, round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std,
-  round(p01, 4) AS p01, round(p99, 4) AS p99, round(skew, 4) AS skew, n_extreme, round(pct_extreme, 4) AS pct_extreme, n_uncastable,
+_REPORT = f"""SELECT column_name, role, n, n_missing, round(pct_missing, 4) AS pct_missing, n_unique,
+  round(pct_unique, 4) AS pct_unique, {zero_safe('mean', 4)} AS mean, round(median, 4) AS median, round(std, 4) AS std,
+  round(p01, 4) AS p01, round(p99, 4) AS p99, {zero_safe('skew', 4)} AS skew, n_extreme, round(pct_extreme, 4) AS pct_extreme, n_uncastable,
   concat_ws('; ', CASE WHEN role = 'empty' THEN 'entirely null' END,
     CASE WHEN role = 'constant' THEN 'single distinct value' END,
     CASE WHEN pct_missing >= 60 THEN printf('%.1f%% missing, imputation would be mostly invention', CAST(pct_missing AS DOUBLE))
@@ -188,7 +193,7 @@ def scaled(source: str, features: list[str], kind: str, others: list[str], digit
     }[kind]
     ends = ", ".join(f"{centre.format(f)} AS {f}_c, {width.format(f)} AS {f}_w" for f in features)
     cols = ", ".join(
-        f"round(({f} - {f}_c) / CASE WHEN {f}_w = 0 THEN 1 ELSE {f}_w END, {digits}) AS {f}" for f in features
+        f"{zero_safe(f'({f} - {f}_c) / CASE WHEN {f}_w = 0 THEN 1 ELSE {f}_w END', digits)} AS {f}" for f in features
     )
     return f"SELECT {', '.join([*others, ''])}{cols} FROM {source}, (SELECT {ends} FROM {source})"
 
@@ -365,7 +370,7 @@ UNION ALL SELECT 'cast_types', '{_CASTS}', left_, left_, 8, 8 FROM c""",
   (age IS NULL)::INT AS age__was_missing, (unit_price IS NULL)::INT AS unit_price__was_missing FROM tidy""",
     "clean_metrics": f"""{with_('contacts', 'contacts')}, {_CONTACT_TIDY} SELECT count(*) AS input_rows, 8 AS input_columns, count(*) AS output_rows,
   11 AS output_columns, 0 AS duplicate_rows_in_input, 0 AS duplicate_rows_removed,
-  3 * count(*) - count(email) - count(age) - count(unit_price) AS missing_filled, 100.0 AS completeness_before, 100.0 AS completeness_after,
+  3 * count(*) - count(email) - count(age) - count(unit_price) AS missing_filled, 100::DOUBLE AS completeness_before, 100::DOUBLE AS completeness_after,
   'trim_whitespace; cast_types; ' || (SELECT string_agg(step, '; ' ORDER BY o) FROM ({_steps_sql()})) AS steps FROM tidy""",
     "plan_decisions": f"""{with_('dirty', 'dirty_orders')}, {facts('dirty', _DIRTY)}
 SELECT column_name, CASE WHEN role IN ('numeric', 'categorical') AND pct_missing < 60 THEN role ELSE 'drop' END AS action,
@@ -420,7 +425,7 @@ SELECT p_partkey, """ + ", ".join(
     "enhance_metrics": " UNION ALL ".join([
         _enhance_metric("phalanx", iqr_keep("imp", ACCOUNTS), "impute; outliers; scale", 6),
         _enhance_metric("guerrilla", None, "impute; smote; scale", 6,
-                        "(SELECT max(c) * count(*) - sum(c) FROM (SELECT count(*) AS c FROM accounts GROUP BY label))"),
+                        "(SELECT CAST(max(c) * count(*) - sum(c) AS BIGINT) FROM (SELECT count(*) AS c FROM accounts GROUP BY label))"),
         _enhance_metric("reconnaissance", None, "impute", 6),
         _enhance_metric("heavy_cavalry", z_keep("imp", ACCOUNTS), "impute; outliers; scale; pca", 6),
     ]),
