@@ -11,7 +11,8 @@ from tidemark.operators.profile import profile
 from tidemark.operators.repair import structural_repair
 from tidemark.operators.roles import infer_roles
 from tidemark.plans.cleaning_plan import apply_plan, build_plan, export, fit_plan
-from tidemark.sources.csv import CsvError, normalise_header, preview, read_csv_repaired
+from tidemark.sources.csv import CsvError, normalise_header, preview, read_csv_multiline, read_csv_repaired
+from tidemark.sources.sinks import write_csv, write_json, write_parquet
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +151,23 @@ def test_csv_header_and_rejects(spark, tmp_path):
     assert read.table.orderBy("_row_id").select("a", "b").collect() == [("1", 2), (None, None), ("007", 8)]
     with pytest.raises(CsvError):
         read_csv_repaired(spark, str(path), fail_on_reject=True)
+
+
+def test_multiline_and_sinks(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note,when,\n1,"two\nlines",2024-01-02,\n2, ,,\n')
+    read = read_csv_multiline(spark, str(path))
+    rows = read.table.orderBy("_row_id").collect()
+    assert [r["note"] for r in rows] == ["two\nlines", None] and [r["id"] for r in rows] == [1, 2]
+    assert read.stats.first()["repaired_rows"] is None
+    df = read.table.drop("_row_id")
+    write_csv(df, str(tmp_path / "c"))
+    write_json(df, str(tmp_path / "j"))
+    write_parquet(df, str(tmp_path / "p"))
+    assert spark.read.csv(str(tmp_path / "c"), header=True, multiLine=True, quote='"', escape='"').count() == 2
+    assert spark.read.json(str(tmp_path / "j")).count() == spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_nested_columns_are_refused(spark):
+    with pytest.raises(ValueError):
+        profile(spark.range(3).select(F.array("id").alias("a")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -98,12 +99,15 @@ def clean(df: DataFrame, keep_apart: list[str] | None = None, parse_steps: list[
     keep_apart = keep_apart or []
     df = on_entry(df)
     data = df.drop(*keep_apart)
-    before = profile(data)
+    pool = ThreadPoolExecutor(1)
+    measuring = pool.submit(profile, data)   # needs only the input
     repaired, log = repair_with_log(df, keep_apart=keep_apart)
     tidy, semantic = standardise(repaired.drop(*keep_apart)) if not keep_apart else _apart(repaired, keep_apart)
     filled, _, missing = fill_missing(tidy, keep_apart)
     table = materialise(iso_dates(filled), "cleaned")
     after = profile(table.drop(*keep_apart))
+    before = measuring.result()
+    pool.shutdown()
     removed = sum(e[2] - e[3] for e in log)
     steps = (parse_steps or []) + [e[0] for e in log] + semantic
     metrics = (

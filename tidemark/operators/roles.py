@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -76,6 +77,9 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, approx: bool =
     """One shuffle-free aggregate per 40 columns, plus one distinct count for all."""
     df = on_entry(df)
     columns = list(columns if columns is not None else df.columns)
+    # The distinct count shuffles, the aggregates do not: let them share the cluster.
+    pool = ThreadPoolExecutor(1)
+    counting = pool.submit(distinct_counts, df, columns, approx)
     facts: list[ColumnFacts] = []
     for start in range(0, len(columns), _CHUNK):
         chunk = columns[start : start + _CHUNK]
@@ -111,7 +115,8 @@ def column_facts(df: DataFrame, columns: list[str] | None = None, approx: bool =
             f.iso_like, f.day_like = row.get(f"iso{i}") or 0, row.get(f"day{i}") or 0
             f.mean, f.std, f.skew = row.get(f"mean{i}"), row.get(f"std{i}"), row.get(f"skew{i}")
             facts.append(f)
-    distinct = distinct_counts(df, columns, approx)
+    distinct = counting.result()
+    pool.shutdown()
     for f in facts:
         f.distinct = distinct[f.name]
     return facts
