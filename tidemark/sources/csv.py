@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import words
-from ..functions.scalars import parse_mixed_date, q, strict_number, strip
+from ..functions.scalars import let, parse_mixed_date, q, strict_number, strip
 
 STATS_SCHEMA = "rows_read bigint, repaired_rows bigint, rejected_rows bigint, steps array<string>"
 
@@ -86,20 +86,32 @@ def join_split_date(fields: Column, header: list[str]) -> Column:
 
 
 def repair_lines(lines: DataFrame, header: list[str], line: str = "line") -> DataFrame:
-    """Add ``_fields`` (NULL when beyond repair), ``_width`` and ``_repaired`` to a table of CSV lines."""
+    """Add ``_fields`` (NULL when beyond repair), ``_width`` and ``_repaired`` to a table of CSV lines.
+
+    The steps are bound one inside the other: as separate columns, a filter on the
+    result would be pushed below them and repeat every step many times over.
+    """
     width = len(header)
-    cut = lines.withColumn("_raw", trim_overflow(split_fields(q(line)), width))
-    joined = cut.withColumn("_joined", join_split_date(F.col("_raw"), header))
-    short = F.size("_joined") < width
-    padded = F.when(
-        short, F.concat("_joined", F.array_repeat(F.lit(""), F.lit(width) - F.size("_joined")))
-    ).otherwise(F.col("_joined"))
-    return (
-        joined.withColumn("_width", F.size("_raw"))
-        .withColumn("_fields", padded)
-        .withColumn("_repaired", F.col("_joined").isNotNull() & ((F.col("_width") > width) | short))
-        .drop("_raw", "_joined")
+
+    def outcome(raw: Column, joined: Column) -> Column:
+        short = F.size(joined) < width
+        padded = F.when(
+            short, F.concat(joined, F.array_repeat(F.lit(""), F.lit(width) - F.size(joined)))
+        ).otherwise(joined)
+        return F.struct(
+            padded.alias("_fields"),
+            F.size(raw).alias("_width"),
+            (joined.isNotNull() & ((F.size(raw) > width) | short)).alias("_repaired"),
+        )
+
+    result = let(
+        split_fields(q(line)),
+        lambda cut: let(
+            trim_overflow(cut, width),
+            lambda raw: let(join_split_date(raw, header), lambda joined: outcome(raw, joined)),
+        ),
     )
+    return lines.withColumn("_r", result).select(*[q(c) for c in lines.columns], "_r._fields", "_r._width", "_r._repaired")
 
 
 def blank_to_null(c: Column) -> Column:
