@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import token_files
+from . import mixing, sentence_pieces, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +21,35 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document and the text they decode to, as counts and digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.with_copies(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, from files of patched frame-of-reference blocks."""
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
 QUERIES: dict[str, Query] = {
+    "op3_sentence_pieces": op3_sentence_pieces,
+    "op6_mixing": op6_mixing,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
