@@ -9,13 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import attach
 from .scratch import written
 
 #: The characters between words, in the notation of a regular expression's class.
 BLANK = r"\x20\x09-\x0D"
-#: Sources up to this number (about 1 MB of rates) are broadcast; more are joined with documents dealt by a salt.
-FEW_SOURCES = 10_000
-_SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -77,24 +75,13 @@ def with_copies(
     own = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() not in new]
     sized = docs.select(*own, word_count(F.col("text")).alias("size"))
     sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
-    targets = source_targets(sizes, list(weights), share, most).select(
-        F.col("source").alias("__source"), "source_size", "target"
-    )
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    targets = written(targets, "mix-targets")
-    if targets.count() <= FEW_SOURCES:
-        joined = sized.join(F.broadcast(targets), same, "left")
-    else:
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SALTS)).cast("int")
-        salted = targets.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        joined = sized.withColumn("__salt", salt).join(
-            salted, same & (F.col("__salt") == F.col("__salt2")), "left"
-        ).drop("__salt", "__salt2")
+    targets = source_targets(sizes, list(weights), share, most)
+    joined = attach(sized, written(targets, "mix-targets"), "source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most))))
     rate = F.coalesce(rate, F.lit(0.0))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     more = (draw(seed, key) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("copies", F.floor(rate) + more).drop("__source")
+    return joined.withColumn("copies", F.floor(rate) + more)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
