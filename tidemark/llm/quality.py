@@ -4,8 +4,9 @@ Each rule rejects documents whose share of something exceeds a cutoff. For every
 (language) and rule the good documents of the labelled holdout are counted beyond
 each cutoff of a grid. Cutoffs are tested from the mildest on; one counts as safe while the exact
 binomial tail proves, at a level divided by the number of strata and rules, that at most ``risk`` of good
-documents are rejected, and the first that fails ends its sequence (so the grid needs no further
-correction). Of the safe cutoffs the one is taken that catches most bad documents, the mildest of equals.
+documents are documents are rejected, and the first that fails ends its sequence (so the grid needs no further
+correction). Of the safe cutoffs the one is taken that gains most, bad documents caught less ``cost``
+times good ones rejected; the mildest of equals, and none where nothing is gained.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def share(rule: str) -> Column:
 
 
 def choose_cutoffs(
-    counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, level: float = 0.05
+    counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.04, level: float = 0.05, cost: float = 5.0
 ) -> DataFrame:
     """One row per stratum: stratum and a cutoff column per rule (null: the rule is off there).
 
@@ -157,8 +158,8 @@ def choose_cutoffs(
                     for cutoff, k, bad in zip(GRID, rejected, caught):
                         if binomial_tail(int(k), int(n), limit) > alone:
                             break
-                        if bad > most:
-                            best, most = cutoff, bad
+                        if bad - cost * k > most:
+                            best, most = cutoff, bad - cost * k
                     chosen.append(best)
                 out[f"cut_{rule}"] = pd.Series(chosen, dtype="float64", index=frame.index)
             yield pd.DataFrame(out)
