@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sentence_pieces, token_files
+from . import jaccard, mixing, quality, sentence_pieces, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document."""
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, from files of patched frame-of-reference blocks."""
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op3_sentence_pieces": op3_sentence_pieces,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_shingle_join": op9_shingle_join,
     "op10_token_files": op10_token_files,
 }
 
