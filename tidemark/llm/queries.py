@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, mixing, quality, sentence_pieces, token_files
+from . import jaccard, mixing, quality, sentence_pieces, token_files, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,13 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, urls.listing(spark, urls.RULES, urls.LISTED))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -61,10 +68,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_shingle_join": op9_shingle_join,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op6_mixing": mixing.ORACLE}
