@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, mixing, quality, sentence_pieces, token_files, urls
+from . import jaccard, licences, mixing, quality, sentence_pieces, token_files, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document, the licence that it is, and the notices among its lines."""
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every 20th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document and the text they decode to, as counts and digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +77,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licence_scan": op1_licence_scan,
+    "op2_top_k": op2_top_k,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
@@ -75,4 +87,5 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_licence_scan": licences.ORACLE, "op2_top_k": topk.ORACLE, "op5_url_filter": urls.ORACLE, "op6_mixing": mixing.ORACLE}
