@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, licences, mixing, quality, sentence_pieces, token_files, topk, urls
+from . import jaccard, licences, mixing, quality, sentence_pieces, token_files, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels that are not held out."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_top_k": op2_top_k,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
