@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, licences, mixing, quality, sentence_pieces, token_files, topk, toxicity, urls
+from . import jaccard, licences, mixing, personal, quality, sentence_pieces, token_files, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal.digests(personal.find(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and whether the base rules and the proven cutoffs keep it."""
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_personal_data": op7_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_shingle_join": op9_shingle_join,
     "op10_token_files": op10_token_files,
