@@ -59,7 +59,7 @@ def test_repair_keeps_extremes_and_is_idempotent(churn):
     assert twice.exceptAll(once).count() == 0 and once.exceptAll(twice).count() == 0
 
 
-def test_plan_and_leak_barrier(churn):
+def test_plan_and_leak_barrier(spark, churn):
     repaired, _ = structural_repair(churn)
     plan = build_plan(profile(repaired), target="churn")
     by = {d.column: d for d in plan.decisions}
@@ -73,6 +73,7 @@ def test_plan_and_leak_barrier(churn):
     coded = apply_plan(test, fitted)
     assert coded.count() == test.count()
     assert "missingindicator_total_charges" in coded.columns and "gender_F" in coded.columns
+    assert fitted.to_frame(spark).where("part = 'level'").count() > 0
     out, warning = export(repaired, plan)
     assert out.where("total_charges is null").count() == 0 and warning
     assert "total_charges__was_missing" in out.columns and "zip" in out.columns
@@ -159,7 +160,7 @@ def test_multiline_and_sinks(spark, tmp_path):
     read = read_csv_multiline(spark, str(path))
     rows = read.table.orderBy("_row_id").collect()
     assert [r["note"] for r in rows] == ["two\nlines", None] and [r["id"] for r in rows] == [1, 2]
-    assert read.stats.first()["repaired_rows"] is None
+    assert read.stats.first()["rejected_rows"] == 0
     df = read.table.drop("_row_id")
     write_csv(df, str(tmp_path / "c"))
     write_json(df, str(tmp_path / "j"))
@@ -168,6 +169,39 @@ def test_multiline_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.parquet(str(tmp_path / "p")).count() == 2
 
 
+def test_files_that_order_their_columns_differently(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,_cost,_created_at\n1,2.5,2024-01-01\n")
+    (tmp_path / "b.csv").write_text("_created_at,id,_cost\n2024-01-02,7,3.5\n")
+    for reader in (read_csv_repaired, read_csv_multiline):
+        rows = sorted(tuple(r) for r in reader(spark, str(tmp_path)).table.select("id", "_cost", "_created_at").collect())
+        assert rows == [(1, 2.5, "2024-01-01"), (7, 3.5, "2024-01-02")]
+    (tmp_path / "c.csv").write_text("id,other,_cost\n1,2,3\n")
+    for reader in (read_csv_repaired, read_csv_multiline):
+        with pytest.raises(CsvError):
+            reader(spark, str(tmp_path))
+
+
+def test_multiline_reports_every_row(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text('id,date,n\n1,"a\nb",5\n3,2024-01-03,7,d,EXTRA,MORE\n4,Mar-19,2026,8\n5,x\n')
+    read = read_csv_multiline(spark, str(path))
+    assert [r["id"] for r in read.table.orderBy("_row_id").collect()] == [1, 4, 5]
+    assert read.table.where("id = 4").first()["date"] == "Mar-19-2026"
+    assert [r["fields_found"] for r in read.rejects.collect()] == [6]
+    assert tuple(read.stats.first())[:3] == (4, 2, 1)
+
+
 def test_nested_columns_are_refused(spark):
     with pytest.raises(ValueError):
         profile(spark.range(3).select(F.array("id").alias("a")))
+
+
+def test_rare_and_unseen_levels(spark):
+    rows = [(i, "common" if i % 100 else f"rare{i}") for i in range(500)]
+    train = spark.createDataFrame(rows, "id long, kind string")
+    plan = build_plan(profile(train.select("kind")))
+    fitted = fit_plan(train, plan)
+    assert fitted.rare.count() == 5
+    fresh = spark.createDataFrame([(1, "common"), (2, "rare100"), (3, "never"), (4, None)], "id long, kind string")
+    got = {r["id"]: (r["kind_common"], r["kind_infrequent"]) for r in apply_plan(fresh, fitted, ["id"]).collect()}
+    assert got == {1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0), 4: (1.0, 0.0)}

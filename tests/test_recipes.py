@@ -1,6 +1,7 @@
 """Quantile search, ranks, neighbours, oversampling, selection, scoring, history."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -215,7 +216,7 @@ def test_terrain_and_checks(spark):
     x = np.column_stack([np.arange(20.0), 2 * np.arange(20.0) + 1, np.ones(20)])
     df = frame(spark, x, ["a", "b", "flat"], extra=["x"] * 15 + ["y"] * 5)
     t = characterize(df, ["a", "b", "flat"], "label")
-    assert t.tags() == ["high_dimensional", "imbalanced", "high_correlation"] and t.default_recipe() == "skirmisher"
+    assert t.tags == ["high_dimensional", "imbalanced", "high_correlation"] and t.default_recipe == "skirmisher"
     assert t.minority_count == 5 and abs(t.mean_abs_correlation - 1.0) < 1e-9
     checks = {r["check"]: r["passed"] for r in validate_classification(df, "label", ids=["id"]).collect()}
     assert all(checks.values())
@@ -233,3 +234,42 @@ def test_routing_and_prediction(spark):
     hit = done.ranking.predict(df, ["id"]).join(df.select("id", "label"), "id").where("label = predicted").count()
     assert hit >= 34
     assert process(df.select("id", "a", F.col("id").cast("string").alias("name")), "name", ["id"]).route == "cleaned"
+
+
+def test_large_ids_survive_imputation(spark):
+    from tidemark.operators.chained import fit_chained
+
+    rows = [(None if i == 3 else 9007199254740993 + i, float(i), 2.0 * i if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    out = fit_chained(df, ["a", "b"]).apply(df)
+    assert {r["id"] for r in out.collect()} == {r[0] for r in rows}
+    assert out.where("b is null").count() == 0 and out.columns == df.columns
+
+
+def test_damaged_history_falls_back(spark, tmp_path):
+    store = str(tmp_path / "h")
+    one = spark.createDataFrame([("s", "phalanx", 1, 0.5)], "signature string, recipe string, n bigint, mean double")
+    save_history(one, store)
+    newest = save_history(one.withColumn("mean", F.lit(0.9)), store)
+    for f in os.listdir(newest):
+        if f.startswith("part-"):
+            with open(os.path.join(newest, f), "wb") as out:
+                out.write(b"no parquet")
+            crc = os.path.join(newest, f".{f}.crc")
+            with open(crc, "wb") as out:
+                out.write(b"")
+    assert load_history(spark, store).first()["mean"] == 0.5
+    assert os.path.basename(save_history(one, store)).startswith("v00000003")
+
+
+def test_ranking_with_any_classifier_and_labels_checked(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from tidemark.plans.ranking import rank_recipes
+
+    x = np.column_stack([np.arange(40.0), np.arange(40.0) % 5])
+    df = frame(spark, x, ["a", "b"], extra=["low"] * 20 + ["high"] * 20)
+    done = rank_recipes(df, "label", DecisionTreeClassifier(maxDepth=3), 0, 0.0, False, 2, ids=["id"])
+    assert not done.error and done.predict(df, ["id"]).count() == 40
+    with pytest.raises(ValueError, match="missing"):
+        rank_recipes(df.withColumn("label", F.when(F.col("id") > 1, F.col("label"))), "label", ids=["id"])

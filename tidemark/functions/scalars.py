@@ -133,7 +133,8 @@ def hash52(*parts) -> Column:
     depends on the cells alone, never on partitioning.
     """
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]).cast("binary"))
+    # A gap has a mark of its own, else (NULL, 1) and (1, NULL) would draw alike.
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 

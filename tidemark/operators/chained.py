@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import q
@@ -38,18 +39,20 @@ class ChainedImputer:
         return x
 
     def apply(self, df: DataFrame) -> DataFrame:
-        others = [c for c in df.columns if c not in self.features]
-        fields = [df.schema[c] for c in others]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{c}` double" for c in self.features])
-        features, imputer = self.features, self
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                x = imputer.fill(pdf[features].to_numpy(dtype=float))
-                yield pd.concat([pdf[others], pd.DataFrame(x, columns=features, index=pdf.index)], axis=1)
-
-        casted = df.select(*[q(c) for c in others], *[q(c).cast("double").alias(c) for c in features])
-        return casted.mapInPandas(run, schema).select(*[q(c) for c in df.columns])
+        """Other columns pass as the Arrow columns they are, so that large whole numbers with gaps keep every digit."""
+        casted = df.select(*[q(c).cast("double").alias(c) if c in self.features else q(c) for c in df.columns])
+        places, imputer = [df.columns.index(c) for c in self.features], self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = [batch.column(i).to_numpy(zero_copy_only=False) for i in places]
+                x = imputer.fill(np.column_stack(raw).astype(float))
+                columns = list(batch.columns)
+                for k, i in enumerate(places):
+                    columns[i] = pa.array(x[:, k], pa.float64(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return casted.mapInArrow(run, casted.schema)
 
 
 def _evidence_ridge(xx: np.ndarray, xy: np.ndarray, yy: float, n: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from ..operators.smote import oversample
 from ..operators.standardise import standardise
 from ..sources.csv import blank_to_null, preview, repair_lines, type_columns
 from ..sources.history import empty_history, update_history
-from .cleaning_plan import apply_plan, build_plan, export, fit_plan, rare_levels
+from .cleaning_plan import apply_plan, build_plan, export, fit_plan
 from .evaluate import (
     add_noise, combine_scores, composite, retention, score_recipes, scoreboard, simplicity, stratified_folds,
     stratified_sample, FoldShare,
@@ -30,7 +30,7 @@ from .ranking import rank_recipes, recommend, select_recipe
 from .recipes import (
     RECIPES, apply_scale, enhance, fit_impute, fit_pca, fit_row_filter, fit_scale, fit_variance,
 )
-from .terrain import characterize
+from .terrain import terrain_table
 from .validation import encode_labels, numeric_features, validate_classification
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,7 +218,7 @@ def plan_rare_levels(spark, d):
     train = raw.where("kind <> 'odd2'")   # one level stays unseen
     plan = build_plan(profile(train.select("kind")))
     fitted = fit_plan(train, plan)
-    coded = apply_plan(raw, fitted, ["p_partkey"], rare_levels(train, fitted))
+    coded = apply_plan(raw, fitted, ["p_partkey"])
     return coded.toDF(*[c.lower().replace("#", "") for c in coded.columns])
 
 
@@ -230,7 +230,7 @@ def plan_export(spark, d):
 # ---- characterisation ------------------------------------------------------
 
 def _terrain(spark, df, features, name):
-    t = characterize(df, features, "label").to_frame(spark)
+    t = terrain_table(df, features, "label")
     return rounded(joined(t.select(F.lit(name).alias("table_name"), "*")), 6)
 
 

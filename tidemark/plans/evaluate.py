@@ -6,6 +6,7 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -78,14 +79,20 @@ def stratified_sample(
     return ranked.where(F.col("_rank") <= allowed).drop("_rank")
 
 
-def make_classifier(kind: str, n: int, seed: int = 42, trees: int = 20):
-    """``logreg`` (unit L2 penalty on the summed loss) or ``rf``."""
+def make_classifier(kind: str | Estimator, n: int, seed: int = 42, trees: int = 50, depth: int = 10):
+    """``logreg`` (unit L2 penalty on the summed loss of ``n`` training rows), ``rf``, or any Spark ML classifier.
+
+    A classifier passed as an object keeps its settings; only its columns are set. ``depth`` bounds what a forest costs;
+    Spark ML allows 30 at most.
+    """
+    if isinstance(kind, Estimator):
+        return kind.copy({kind.getParam("featuresCol"): "_x", kind.getParam("labelCol"): "_y"})
     if kind == "logreg":
         return LogisticRegression(
             featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False
         )
     if kind == "rf":
-        return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=10, seed=seed)
+        return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
     raise ValueError(f"unknown classifier {kind!r}")
 
 
@@ -123,13 +130,13 @@ class FoldShare:
             return slot["value"]
 
 
-def score_fold(df, features, target, classes, recipe: Recipe, fold: int, classifier: str, ids, seed, share) -> tuple[int, int]:
+def score_fold(df, features, target, classes, recipe: Recipe, fold: int, classifier, ids, seed, share, size) -> tuple[int, int]:
     """(rows, correct) on one held-out fold; everything is fitted on the other folds."""
     train, test = df.where(F.col(FOLD) != fold).drop(FOLD), df.where(F.col(FOLD) == fold).drop(FOLD)
     imputed = share.imputer((recipe.impute, fold), lambda: fit_impute(train, features, recipe.impute))
     fitted, rows, _ = fit_recipe(train, features, target, recipe, ids, seed, imputed)
     data = model_input(rows, fitted.features, target, classes)
-    model = make_classifier(classifier, rows.count() if classifier == "logreg" else 1, seed).fit(data)
+    model = make_classifier(classifier, rows.count() if classifier == "logreg" else 1, seed, **size).fit(data)
     scored = model.transform(model_input(fitted.transform(test), fitted.features, target, classes))
     row = scored.agg(F.count(F.lit(1)), F.count_if(F.col("prediction") == F.col("_y"))).first()
     return row[0], row[1]
@@ -150,14 +157,17 @@ def score_recipes(
     features: list[str],
     target: str,
     names: list[str],
-    classifier: str = "rf",
+    classifier: str | Estimator = "rf",
     ids: list[str] | None = None,
     folds: int = 3,
     seed: int = 42,
     parallel: int = 4,
+    **size: int,
 ) -> DataFrame:
     """One row per recipe and fold. ``df`` carries ``_fold``; a failing recipe keeps its error text.
 
+    ``size`` is ``trees`` and ``depth`` of a forest.
+
     The fold jobs are independent and run from a small pool of driver threads.
     """
     classes = class_values(df, target)
@@ -172,7 +182,7 @@ def score_recipes(
         try:
             kept, n_after, _ = retention(whole, features, target, r, share)
             return [
-                (idx, name, k, *score_fold(df, features, target, classes, r, k, classifier, ids, seed, share),
+                (idx, name, k, *score_fold(df, features, target, classes, r, k, classifier, ids, seed, share, size),
                  kept, n_after, d, after, "")
                 for k in range(folds)
             ]

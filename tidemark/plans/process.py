@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.clean import Cleaned, clean
 from .ranking import Ranking, rank_recipes
 from .recipes import enhance
-from .validation import validate_classification
+from .validation import MAX_CLASSES, validate_classification
 
 
 @dataclass
@@ -23,7 +23,9 @@ class Processed:
 
 
 def choose_route(checks: DataFrame) -> str:
-    return "ranked" if checks.where(~F.col("passed")).limit(1).count() == 0 else "cleaned"
+    """Ranked when all checks pass and the classes fit the lookup of the ranking; else cleaned."""
+    wide = (F.col("check") == "class_count") & (F.col("observed") > MAX_CLASSES)
+    return "ranked" if checks.where(~F.col("passed") | wide).limit(1).count() == 0 else "cleaned"
 
 
 def process(df: DataFrame, target: str | None = None, ids: list[str] | None = None, **ranking_options) -> Processed:

@@ -1,67 +1,52 @@
-"""Characterisation of a labelled numeric table."""
+"""Characterisation of a labelled numeric table: one row of facts and what follows from it."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.scalars import q
 from ..operators.gram import correlation_matrix
 
-TERRAIN_SCHEMA = (
+FACTS_SCHEMA = (
     "n_samples bigint, n_features int, missing_ratio double, class_balance double, dim_ratio double, "
-    "mean_abs_correlation double, minority_count bigint, signature string, tags array<string>, default_recipe string"
+    "mean_abs_correlation double, minority_count bigint"
 )
 
+# Short name of an axis, its fact, limit, side of the limit that is high, tag and recipe where it is high.
+AXES = [
+    ("dim", "dim_ratio", 0.10, "above", "high_dimensional", "skirmisher"),
+    ("miss", "missing_ratio", 0.05, "above", "severe_missing", "phalanx"),
+    ("bal", "class_balance", 0.50, "below", "imbalanced", "guerrilla"),
+    ("corr", "mean_abs_correlation", 0.70, "above", "high_correlation", "heavy_cavalry"),
+]
+# The tag of few gaps (it follows the one of many), that of a table without any tag, and the recipe of the rest.
+FEW_GAPS, NO_TAG, PLAIN_RECIPE = "some_missing", "well_behaved", "phalanx"
 
-@dataclass
-class Terrain:
-    n_samples: int
-    n_features: int
-    missing_ratio: float
-    class_balance: float        # smallest class / largest class
-    dim_ratio: float            # features / rows
-    mean_abs_correlation: float
-    minority_count: int
-
-    def signature(self) -> str:
-        level = lambda hit: "hi" if hit else "lo"
-        return "|".join(
-            (
-                f"dim:{level(self.dim_ratio > 0.10)}",
-                f"miss:{level(self.missing_ratio > 0.05)}",
-                f"bal:{level(self.class_balance < 0.50)}",
-                f"corr:{level(self.mean_abs_correlation > 0.70)}",
-            )
-        )
 
-    def tags(self) -> list[str]:
-        marks = [
-            (self.dim_ratio > 0.10, "high_dimensional"),
-            (self.missing_ratio > 0.05, "severe_missing"),
-            (0 < self.missing_ratio <= 0.05, "some_missing"),
-            (self.class_balance < 0.50, "imbalanced"),
-            (self.mean_abs_correlation > 0.70, "high_correlation"),
-        ]
-        return [name for hit, name in marks if hit] or ["well_behaved"]
+def _high(fact: str, limit: float, side: str) -> Column:
+    return F.col(fact) > limit if side == "above" else F.col(fact) < limit
 
-    def default_recipe(self) -> str:
-        rules = [
-            (self.dim_ratio > 0.10, "skirmisher"),
-            (self.missing_ratio > 0.05, "phalanx"),
-            (self.class_balance < 0.50, "guerrilla"),
-            (self.mean_abs_correlation > 0.70, "heavy_cavalry"),
-        ]
-        return next((name for hit, name in rules if hit), "phalanx")
 
-    def to_frame(self, spark) -> DataFrame:
-        row = (*vars(self).values(), self.signature(), self.tags(), self.default_recipe())
-        return spark.createDataFrame([row], TERRAIN_SCHEMA)
+def described(facts: DataFrame) -> DataFrame:
+    """Adds signature, tags and default_recipe to rows of facts."""
+    tags, recipe, levels = [], None, []
+    for short, fact, limit, side, tag, choice in AXES:
+        high = _high(fact, limit, side)
+        levels.append(F.concat(F.lit(f"{short}:"), F.when(high, "hi").otherwise("lo")))
+        tags.append(F.when(high, tag))
+        if fact == "missing_ratio":
+            tags.append(F.when(~high & (F.col(fact) > 0), FEW_GAPS))
+        recipe = F.when(high, choice) if recipe is None else recipe.when(high, choice)
+    found = F.array_compact(F.array(*tags))
+    return facts.withColumns({
+        "signature": F.concat_ws("|", *levels),
+        "tags": F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_TAG))),
+        "default_recipe": recipe.otherwise(PLAIN_RECIPE),
+    })
 
 
-def characterize(df: DataFrame, features: list[str], target: str) -> Terrain:
-    """Three small results: gaps and means, class sizes, correlations of mean-filled columns."""
+def terrain_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """One row from three small results: gaps and means, class sizes, correlations of mean-filled columns."""
     row = df.agg(F.count(F.lit(1)), *[F.count(q(c)) for c in features], *[F.avg(q(c)) for c in features]).first()
     n, d = row[0], len(features)
     present, means = row[1 : 1 + d], row[1 + d :]
@@ -69,7 +54,13 @@ def characterize(df: DataFrame, features: list[str], target: str) -> Terrain:
     filled = df.select(*[F.coalesce(q(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, means)])
     corr = correlation_matrix(filled, features, list(means), n) if d > 1 else None
     pairs = [] if corr is None else [abs(v) for i, r in enumerate(corr) for j, v in enumerate(r) if i != j and v == v]
-    return Terrain(
+    facts = (
         n, d, sum(n - k for k in present) / (n * d), sizes[0] / sizes[1], d / n,
         sum(pairs) / len(pairs) if pairs else 0.0, sizes[0],
     )
+    return described(df.sparkSession.createDataFrame([facts], FACTS_SCHEMA))
+
+
+def characterize(df: DataFrame, features: list[str], target: str) -> Row:
+    """The row of ``terrain_table``."""
+    return terrain_table(df, features, target).first()

@@ -9,7 +9,8 @@ from ..session import is_moment, is_number, is_real, on_entry
 
 CHECK_SCHEMA = "position int, check string, passed boolean, observed double, message string"
 _MIN_ROWS = 10
-_MAX_CLASSES = 10_000
+# Classes are looked up by a literal map in the plan; ``process`` cleans a table with more of them.
+MAX_CLASSES = 10_000
 
 
 def numeric_features(df: DataFrame, target: str, ids: list[str] | None = None) -> list[str]:
@@ -67,10 +68,12 @@ def validate_classification(
 
 
 def class_values(df: DataFrame, target: str) -> list:
-    """Sorted classes; refuses a target whose classes would not fit a lookup."""
-    found = df.select(q(target).alias("t")).distinct().limit(_MAX_CLASSES + 1).collect()
-    if len(found) > _MAX_CLASSES:
-        raise ValueError(f"more than {_MAX_CLASSES} classes: not a classification target")
+    """Sorted classes; refuses missing labels and a target whose classes would not fit a lookup."""
+    found = df.select(q(target).alias("t")).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: not a classification target")
+    if any(r["t"] is None for r in found):
+        raise ValueError(f"{target}: target column cannot contain missing values")
     return sorted(r["t"] for r in found)
 
 

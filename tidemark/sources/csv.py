@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import words
 from ..functions.scalars import let, parse_mixed_date, q, strict_number, strip
+from ..session import materialise
 
 STATS_SCHEMA = "rows_read bigint, repaired_rows bigint, rejected_rows bigint, steps array<string>"
 
@@ -149,40 +150,39 @@ def type_columns(df: DataFrame, columns: list[str], keep_padded: bool = True) ->
     return df.select(*out)
 
 
-def read_csv_repaired(
-    spark: SparkSession, path: str, keep_padded: bool = True, fail_on_reject: bool = False
-) -> CsvRead:
-    """Read a CSV file, or a folder of CSV files with one header each, line by line.
+def _headers(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(_file, _order) of every file with the places of the first file's names in it, and those names.
 
-    Lines are split by column expressions, so any file size spreads over tasks and
-    short, blank and overlong rows are counted exactly. A quoted line break is not
-    supported here: both halves are reported as rejects (``read_csv_multiline``).
+    The first line of each file is its header. Files may order their columns differently; other names are refused.
     """
     lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row_id"),
     )
-    first = lines.limit(1).collect()
-    if not first:
+    first = lines.where(F.col("_start") == 0).groupBy("_file").agg(F.min_by("line", "_row_id").alias("line"))
+    different = first.groupBy(F.regexp_replace("line", "^\ufeff", "").alias("line")).agg(F.min("_file").alias("_file")).orderBy("_file").collect()
+    if not different:
         raise CsvError("CSV must contain a header and data rows")
-    head_text = first[0]["line"]
-    head = spark.range(1).select(split_fields(F.lit(head_text.lstrip("﻿"))).alias("f")).first()["f"]
-    if head is None:
+    texts = spark.createDataFrame([(r["line"],) for r in different], "line string")
+    parsed = {r["line"]: r["f"] for r in texts.select("line", split_fields(F.col("line")).alias("f")).collect()}
+    if any(f is None for f in parsed.values()):
         raise CsvError("CSV header has broken quotes")
-    header = normalise_header(head)
-    heads = (
-        lines.where((F.col("_start") == 0) & (F.col("line") == F.lit(head_text)))
-        .groupBy("_file")
-        .agg(F.min("_row_id").alias("_row_id"))
-    )
-    body = lines.join(heads, ["_file", "_row_id"], "left_anti")
-    fixed = repair_lines(body, header)
+    headers = {text: normalise_header(fields) for text, fields in parsed.items()}
+    names = headers[different[0]["line"]]
+    for text, own in headers.items():
+        if sorted(own) != sorted(names):
+            raise CsvError(f"files differ in their columns: {text[:200]!r} does not name {names}")
+    # One row for each different header text, however many files there are.
+    orders = spark.createDataFrame([(t, own) for t, own in headers.items()], "line string, _header array<string>")
+    files = first.withColumn("line", F.regexp_replace("line", "^\ufeff", "")).join(F.broadcast(orders), "line").select("_file", "_header")
+    return files, names
+
+
+def _result(fixed: DataFrame, header: list[str], keep_padded: bool, fail_on_reject: bool) -> CsvRead:
+    """Table, rejects and counts of repaired rows (_file, _row_id, line, _header, _fields, _width, _repaired)."""
+    spark = fixed.sparkSession
     counts = fixed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("_repaired").alias("repaired"),
-        F.count_if(F.col("_fields").isNull()).alias("rejected"),
+        F.count(F.lit(1)).alias("n"), F.count_if("_repaired").alias("repaired"), F.count_if(F.col("_fields").isNull()).alias("rejected"),
     ).first()
     if counts["n"] == 0:
         raise CsvError("CSV must contain a header and data rows")
@@ -195,29 +195,78 @@ def read_csv_repaired(
             f"{counts['rejected']} rows beyond repair; first: {bad['fields_found']} fields, expected {len(header)}"
         )
     cells = fixed.where(F.col("_fields").isNotNull()).select(
-        "_row_id", *[blank_to_null(F.col("_fields")[i]).alias(n) for i, n in enumerate(header)]
+        "_row_id",
+        *[blank_to_null(F.element_at("_fields", F.array_position("_header", F.lit(n)).cast("int"))).alias(n) for n in header],
     )
     steps = [f"repaired_{counts['repaired']}_malformed_rows"] if counts["repaired"] else []
     stats = spark.createDataFrame([(counts["n"], counts["repaired"], counts["rejected"], steps)], STATS_SCHEMA)
     return CsvRead(type_columns(cells, header, keep_padded), rejects, stats, steps)
 
 
-def read_csv_multiline(spark: SparkSession, path: str, keep_padded: bool = True) -> CsvRead:
-    """Files with quoted line breaks, by Spark's own reader.
+def _repaired(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Repaired rows, by each order of columns there is (a file's own names say where a split date may be)."""
+    found = files.select("_header").distinct().collect()
+    parts = []
+    for r in found:
+        own = rows.where(F.col("_header") == F.array(*map(F.lit, r["_header"]))) if len(found) > 1 else rows
+        parts.append(repair_lines(own, r["_header"]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def read_csv_repaired(
+    spark: SparkSession, path: str, keep_padded: bool = True, fail_on_reject: bool = False
+) -> CsvRead:
+    """Read a CSV file, or a folder of CSV files with one header each, line by line.
 
-    The reader makes empty and absent fields alike, so repair counts are NULL, and
-    a single file is parsed by one task: split large inputs into many files.
+    Lines are split by column expressions, so any file size spreads over tasks and short, blank and overlong rows are counted
+    exactly. Columns go by the names in each file's first line. Here a line is a record: both halves of one with a quoted line break
+    are reported as rejects, and ``read_csv_multiline`` reads such files.
     """
-    probe = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, inferSchema=False)
-    named = normalise_header([c if not c.startswith("_c") else "" for c in probe.columns])
-    table = probe.select(*[q(c) for c in probe.columns[: len(named)]]).toDF(*named)
-    table = table.select(*[blank_to_null(q(c)).alias(c) for c in named])
-    table = table.withColumn("_row_id", F.monotonically_increasing_id()).select("_row_id", *[q(c) for c in named])
-    stats = spark.createDataFrame([(table.count(), None, None, [])], STATS_SCHEMA)
-    rejects = spark.createDataFrame(
-        [], "_file string, _row_id bigint, line string, fields_found int, fields_expected int"
+    files, header = _headers(spark, path)
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row_id"),
+    )
+    heads = lines.where(F.col("_start") == 0).groupBy("_file").agg(F.min("_row_id").alias("_head"))
+    body = lines.join(files.join(heads, "_file"), "_file").where(F.col("_row_id") != F.col("_head"))
+    fixed = _repaired(body.select("_file", "_row_id", "line", "_header"), files)
+    return _result(fixed, header, keep_padded, fail_on_reject)
+
+
+def read_csv_multiline(
+    spark: SparkSession, path: str, keep_padded: bool = True, fail_on_reject: bool = False
+) -> CsvRead:
+    """As ``read_csv_repaired``, for files with line breaks inside quotes.
+
+    Spark's own reader finds the records (a single file is read by one task: split large inputs into many files). Records that do
+    not fit the header come back whole and go through the same repairs; those beyond repair are rejects. Blank lines are
+    skipped, as that reader does.
+    """
+    files, header = _headers(spark, path)
+    width = len(header)
+    schema = ", ".join([f"c{i} string" for i in range(width)] + ["_record string"])
+    read = spark.read.csv(
+        path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=True,
+        columnNameOfCorruptRecord="_record", emptyValue="", nullValue="\u0000",
+    ).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row_id"))
+    # Parsed once and kept: with fewer columns asked for, that reader would see fewer broken records.
+    read = materialise(read, "csv-records")
+    heads = read.groupBy("_file").agg(F.min("_row_id").alias("_head"))
+    body = read.join(files.join(heads, "_file"), "_file").where(F.col("_row_id") != F.col("_head"))
+    cells = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(width)])
+    good = body.where(F.col("_record").isNull()).select(
+        "_file", "_row_id", F.col("_record").alias("line"), "_header", cells.alias("_fields"), F.lit(width).alias("_width"),
+        F.lit(False).alias("_repaired"),
+    )
+    broken = body.where(F.col("_record").isNotNull()).select(
+        "_file", "_row_id", F.regexp_replace("_record", r"[\r\n]+$", "").alias("line"), "_header"
     )
-    return CsvRead(type_columns(table, named, keep_padded), rejects, stats, [])
+    return _result(good.unionByName(_repaired(broken, files)), header, keep_padded, fail_on_reject)
 
 
 def preview(df: DataFrame, rows: int = 6, order: str = "_row_id") -> tuple[DataFrame, bool]:

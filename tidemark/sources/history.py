@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HISTORY_SCHEMA = "signature string, recipe string, n bigint, mean double"
+# What Spark's reader says of files that are cut off or no Parquet at all.
+_DAMAGE = ("is not a Parquet file", "Could not read footer", "CANNOT_READ_FILE_FOOTER", "corrupt", "EOFException", "Expected magic")
 
 
 def empty_history(spark: SparkSession) -> DataFrame:
@@ -23,21 +26,26 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """Latest complete version; a missing or unreadable store is empty."""
-    try:
-        found = _versions(spark, path)
-        if not found:
-            return empty_history(spark)
-        table = spark.read.schema(HISTORY_SCHEMA).parquet(found[-1])
-        table.limit(1).collect()
-        return table
-    except Exception:  # noqa: BLE001 - a corrupt store counts as empty
-        return empty_history(spark)
+    """Latest complete version that can be read; damaged ones are passed over, a missing store is empty.
+
+    Any other failure (access, network) is raised: what was learnt must not be taken for gone and overridden.
+    """
+    for version in reversed(_versions(spark, path)):
+        table = spark.read.schema(HISTORY_SCHEMA).parquet(version)
+        try:
+            table.agg(F.count("signature"), F.sum("n"), F.sum("mean")).collect()
+        except Exception as e:  # noqa: BLE001 - sorted out by what it says
+            if not any(sign in str(e) for sign in _DAMAGE):
+                raise
+        else:
+            return table
+    return empty_history(spark)
 
 
 def save_history(history: DataFrame, path: str) -> str:
     """Write a new version beside the old ones; readers switch once it is complete."""
-    number = len(_versions(history.sparkSession, path)) + 1
+    taken = [int(m[1]) for v in _versions(history.sparkSession, path) if (m := re.search(r"/v(\d{8})-[0-9a-f]+/?$", v))]
+    number = max(taken, default=0) + 1
     target = f"{path.rstrip('/')}/v{number:08d}-{uuid.uuid4().hex[:8]}"
     history.write.parquet(target)
     return target
