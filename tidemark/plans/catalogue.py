@@ -409,11 +409,25 @@ def recipe_scoreboard(spark, d):
 
 def forest_scoreboard(spark, d):
     raw = score_recipes(
-        _folded_parts(spark, d), PART_FEATURES, "label", ["phalanx", "reconnaissance"], "rf", ["p_partkey"]
+        _folded_parts(spark, d), PART_FEATURES, "label", list(RECIPES), "rf", ["p_partkey"], trees=20, depth=8
     )
     return scoreboard(combine_scores(raw))
 
 
+def scoreboard_counts(spark, d):
+    """Scores and ranks from counts per recipe and fold, with one recipe that failed."""
+    names = F.array(*[F.lit(n) for n in RECIPES])
+    idx = (F.col("l_suppkey") % 8).cast("int")
+    counts = table(spark, d, "lineitem").groupBy(idx.alias("idx"), (F.col("l_linenumber") % 3).cast("int").alias("fold")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("l_discount") >= 0.05).alias("correct"),
+    )
+    return scoreboard(combine_scores(counts.select(
+        "idx", F.element_at(names, F.col("idx") + 1).alias("recipe"), "fold", "rows", "correct",
+        (1 - F.col("idx") / 16).alias("retention"), F.lit(0).cast("bigint").alias("n_after"), F.lit(4).alias("d_before"),
+        (F.col("idx") + 4).alias("d_after"), F.when(F.col("idx") == 6, "failed").otherwise("").alias("error"),
+    )))
+
+
 def noise_cells(spark, d):
     noisy = add_noise(planted(spark, d, "accounts"), ["visits", "score"], 0.01, ["c_custkey"], 42, 1)
     return rounded(noisy.select("c_custkey", "visits", "score"), 6)
@@ -604,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "retention_lines": retention_lines,
     "index_components": index_components,
     "score_folds": score_folds,
+    "scoreboard_counts": scoreboard_counts,
     "recipe_scoreboard": recipe_scoreboard,
     "forest_scoreboard": forest_scoreboard,
     "noise_cells": noise_cells,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .inputs import CSV_LINES, CURRENCY_TEXT, planted_sql
 from ..functions.words import IDENTIFIER_TOKENS
+from .recipes import RECIPES
 
 _NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _ISO = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T].*)?$"
@@ -289,6 +290,9 @@ _REWARDS = f"""rewards AS (SELECT concat('sig:', l_linenumber % 2) AS signature,
   FROM (SELECT l_linenumber, l_suppkey % 8 AS l_suppkey, avg(l_discount) AS reward FROM lineitem GROUP BY 1, 2))"""
 
 
+_RECIPE_LIST = "[" + ", ".join(f"'{n}'" for n in RECIPES) + "]"
+
+
 def _checks(variant: str, source: str, target: str, columns: int, features: int, bad: str = "0") -> str:
     texts = {
         "target_complete": "target column cannot contain missing values",
@@ -461,6 +465,14 @@ FROM (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 40 WHEN o_orderkey % 41 = 0 T
   CASE WHEN bool_or(regexp_matches(zip, '^0[0-9]+$')) THEN 'string' ELSE 'bigint' END AS zip_type, 'bigint' AS code_type, 'double' AS amount_type,
   CAST(sum(o_orderkey) AS BIGINT) AS code_sum, sum(o_custkey + 0.5::DOUBLE) AS amount_sum FROM dirty""",
     "preview_rows": """SELECT o_orderkey, o_orderstatus, o_totalprice, (SELECT count(*) > 6 FROM orders) AS truncated FROM orders ORDER BY o_orderkey LIMIT 6""",
+    "scoreboard_counts": f"""WITH c AS (SELECT CAST(l_suppkey % 8 AS INT) AS idx, l_linenumber % 3 AS fold, count(*) AS n, count(*) FILTER (l_discount >= 0.05) AS ok
+  FROM lineitem GROUP BY ALL),
+a AS (SELECT idx, avg(ok / n) AS accuracy, 1 - stddev_pop(ok / n) AS stability, 1 - idx / 16 AS retention, 1 / (1 + 0.05 * idx) AS simplicity, idx = 6 AS failed
+  FROM c GROUP BY idx),
+s AS (SELECT *, CASE WHEN failed THEN 0 ELSE 0.4 * accuracy + 0.25 * stability + 0.2 * retention + 0.15 * simplicity END AS sei FROM a)
+SELECT CAST(row_number() OVER (ORDER BY sei DESC, idx) AS INT) AS rank, {_RECIPE_LIST}[idx + 1] AS recipe, round(sei::DOUBLE, 4) AS sei,
+  round(CASE WHEN failed THEN 0 ELSE accuracy END::DOUBLE, 4) AS accuracy, round(CASE WHEN failed THEN 0 ELSE stability END::DOUBLE, 4) AS stability,
+  round(retention::DOUBLE, 3) AS retention, round(simplicity::DOUBLE, 3) AS simplicity, CASE WHEN failed THEN 'failed' ELSE '' END AS error FROM s""",
     "validation_checks": f"{_LINES} " + " UNION ALL ".join([
         _checks("fine", "lines", "label", 5, 4),
         _checks("continuous", "lineitem", "l_extendedprice", 2, 1, "l_extendedprice <> floor(l_extendedprice)"),
