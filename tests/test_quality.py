@@ -49,7 +49,7 @@ def test_profile_finds_planted_faults(churn):
 def test_repair_keeps_extremes_and_is_idempotent(churn):
     once, log = structural_repair(churn)
     assert once.count() == 640
-    assert once.where("monthly_charges = 999.0").count() == 12
+    assert once.where("monthly_charges = 999.0").count() == 14
     assert once.where(F.col("zip").rlike("^0")).count() == 640
     assert once.where(F.col("city").rlike(r"^\s|\s$")).count() == 0
     steps = [r["step"] for r in log.collect()]
