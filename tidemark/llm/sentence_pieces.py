@@ -205,7 +205,7 @@ class PieceCoder:
         coded = coded.dictionary_encode()
         return ids_of_words(
             self.words, coded.indices.to_numpy().astype(np.int64), np.searchsorted(bounds, offsets),
-            coded.dictionary.to_pylist(),
+            coded.dictionary,
         )
 
 

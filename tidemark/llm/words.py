@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that a task works on at once; one longer text forms a slice of its own.
-SLICE_BYTES = 8 << 20
-#: Words a worker remembers before it starts afresh.
-CACHED_WORDS = 300_000
+SLICE_BYTES = 2 << 20
+#: Words a worker remembers (about 50 bytes each) before it forgets the rarer half.
+CACHED_WORDS = 400_000
 
 
 def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -42,6 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()  # a worker's tasks would else pile up what the pool keeps
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -76,34 +77,45 @@ class CodedWords:
     """Ids of words, each distinct word coded once while it is remembered.
 
     ``encode`` codes a list of words and returns their ids end to end and the number of ids of each.
+    When the memory is full, the half that was asked for most often stays. It is kept as Arrow and numpy arrays, which take a few
+    bytes a word and leave no holes.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], room: int = CACHED_WORDS):
         self.encode, self.room = encode, room
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids remembered so far, and where each word's ids start and how many they are."""
-        if len(self.at) > self.room:
-            self._clear()
-        new = [w for w in words if w not in self.at]
-        if new:
-            ids, counts = self.encode(new)
-            base = len(self.at)
-            self.at.update(zip(new, range(base, base + len(new))))
+        self.words = pa.array([], pa.large_string())
+        self.flat = np.zeros(0, np.int32)
+        self.starts, self.counts, self.asked = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.asked, kind="stable")[: self.room // 2])
+        self.words = self.words.take(pa.array(kept))
+        self.flat = self.flat[ragged(self.starts[kept], self.counts[kept])]
+        self.counts = self.counts[kept]
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.asked = self.asked[kept] // 2
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids remembered so far, and where each of the distinct words' ids start and how many they are."""
+        if len(self.words) > self.room:
+            self._forget()
+        rows = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            new = words.take(pa.array(unknown))
+            ids, counts = self.encode(new.to_pylist())
+            rows[unknown] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, new])
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-        rows = np.fromiter((self.at[w] for w in words), np.int64, len(words))
+            self.asked = np.concatenate([self.asked, np.zeros(len(new), np.int64)])
+        self.asked[rows] += 1
         return self.flat, self.starts[rows], self.counts[rows]
 
 
 def ids_of_words(
-    cache: CodedWords, codes: np.ndarray, ends: np.ndarray, distinct: list[str]
+    cache: CodedWords, codes: np.ndarray, ends: np.ndarray, distinct: pa.Array
 ) -> tuple[np.ndarray, np.ndarray]:
     """All ids end to end, and where each text's ids start (one more than texts)."""
     flat, starts, counts = cache.lookup(distinct)
