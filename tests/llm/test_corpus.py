@@ -74,6 +74,30 @@ def test_a_hot_list_dealt_to_several_groups(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.link_components(docs).collect())) == sorted(components_by_force(rows))
 
 
+def growing_family(seed, lengths, copies):
+    """Variants of one text, cut to each of the lengths (in words)."""
+    r = random.Random(seed)
+    base = [f"w{i}x{r.randint(0, 10**6)}" for i in range(max(lengths))]
+    texts = []
+    for n, times in zip(lengths, copies):
+        for k in range(times):
+            own = base[:n]
+            if times > 1:
+                own[k % n if k < n else 0] += f"e{k}"
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("lengths, copies", [((74, 88, 100), (1, 8, 40)), ((70, 82, 98, 117, 137), (1, 8, 30, 8, 1))])
+def test_lone_shortest_and_longest_member_of_a_family(spark, lengths, copies):
+    rows = list(enumerate(t for seed in range(6) for t in growing_family(seed, lengths, copies)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(components_by_force(rows))
+    assert len({c for *_, c in want}) < len(rows) / 2
+    assert sorted(map(tuple, jaccard.link_components(docs).collect())) == want
+
+
 def test_join_of_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     key = lambda r: (r[0] is None, r)
