@@ -205,6 +205,36 @@ def test_bootstrapped_cards_and_redaction(spark, odd_docs, no_docs):
     assert personal.redact(odd_docs).columns == odd_docs.columns
 
 
+def test_learned_contexts_find_other_forms(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abdeiklmnorstu", k=7))
+    rows = []
+    for i in range(60):
+        rows.append(f"{word()} {word()} please call +49 30 {1000000 + 7919 * i} {word()} the {word()}")
+        rows.append(f"{word()} the +44 20 {2000000 + 7919 * i} {word()} " + f"the {word()} " * 40)
+        rows.append(f"{word()} write to {word()}@{word()}.org {word()}")
+        card = next(c for c in map(str, range(4539578700000000 + 1000 * i, 1 << 60)) if personal.luhn(c))
+        rows.append(f"{word()} paid by {card} {word()}")
+        rows.append(f"{word()} server address 10.1.{i}.7 {word()}")
+    odd = {
+        f"{word()} call 030 1234 5678 {word()}": "phone:13:26", f"{word()} the 030 1234 5678 9 {word()}": None,
+        f"{word()} write to {word()} (at) mail (dot) org {word()}": "email:17:44",
+        f"{word()} paid by 55555.55555.554444 {word()}": "card:16:34",
+        f"{word()} server address 10-1-2-250 {word()}": "ip:23:33", f"{word()} {word()} 10-1-3-250 {word()}": None,
+    }
+    docs = spark.createDataFrame(list(enumerate([*odd, *rows])), "doc_id long, text string")
+    got = {x.doc_id: x for x in personal.digests(personal.find(docs)).where(f"doc_id < {len(odd)}").collect()}
+    for i, (text, want) in enumerate(odd.items()):
+        assert got[i].spans == (want or ""), text
+        assert got[i].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_wide_mentions_take_no_square_time():
+    for bit in ("a", "1", "a at ", "1-", "1 ", "(at)", "a dot ", "1.(", "a.", "1/2 "):
+        text = bit * (300_000 // len(bit))
+        assert len(personal.mentions(text, personal.base_spans(text))) < len(text)
+
+
 def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs, no_labels):
     r = random.Random(6)
     stem = ["lowei", "grump", "zorch"]
