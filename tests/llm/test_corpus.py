@@ -290,3 +290,10 @@ def test_licences(spark, odd_docs, no_docs):
     assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "MIT notice")}
     assert licences.scan(odd_docs, licences.known_digests(spark)).count() == odd_docs.count()
     assert licences.scan(no_docs, licences.known_digests(spark)).count() == 0
+
+
+def test_a_notice_without_the_keyword(spark):
+    assert all(licences.KEYWORD in text.lower() for text in licences.KNOWN.values())
+    known = licences.known_digests(spark, {"PD": "This work is dedicated to the public domain."})
+    docs = spark.createDataFrame([(1, "a\nThis work is dedicated to the Public Domain\n\nb"), (2, "")], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licences.scan(docs, known).collect()} == {1: "PD", 2: ""}

@@ -13,7 +13,7 @@ EQUIVALENTS = [
 ]
 #: A line that only names who holds rights: it says nothing about which licence it is.
 RIGHTS_LINE = r"(?i)(^|\n)[ \t]*((copyright[ \t]+)?(\(c\)|©)|copyright[ \t]+[0-9<\[]|all[ \t]+rights[ \t]+reserved)[^\n]*"
-#: What every known text has after normalising; a line without it cannot match.
+#: What every text of ``KNOWN`` has after normalising; a line without it cannot match one of them.
 KEYWORD = "licen"
 
 #: Names and texts of known licences and notices.
@@ -71,17 +71,17 @@ def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFra
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, keyword: str = "") -> DataFrame:
     """doc_id, digest, licence (of the whole text, else null) and notices (names of known texts that fill a line, in order, joined by commas).
 
-    A null text counts as empty and an empty one matches nothing; texts are digested whole. Only lines that hold the
-    word of ``KEYWORD`` are digested, as no known text lacks it. Repeated rows each give a row; rows of one
+    A null text counts as empty and an empty one matches nothing; texts are digested whole. Only lines that hold
+    ``keyword`` are digested: name one only if no known text lacks it (``KEYWORD`` for ``KNOWN``). Repeated rows each give a row; rows of one
     doc_id share their notices, and rows of none get no notices. Other columns are ignored. Known digests are broadcast while they are few.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = attach(docs.select("doc_id", digest(F.col("text")).alias("digest")), known, "digest")
-    lines = docs.where(F.lower("text").contains(KEYWORD)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.lower("line").contains(KEYWORD)).select("doc_id", digest(F.col("line")).alias("digest"))
+    lines = docs.where(F.lower("text").contains(keyword)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.lower("line").contains(keyword)).select("doc_id", digest(F.col("line")).alias("digest"))
     hits = attach(lines, known, "digest").where("licence is not null")
     notices = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
     found = notices.withColumnRenamed("doc_id", "__doc")

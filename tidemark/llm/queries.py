@@ -23,7 +23,7 @@ def vocabulary(name: str) -> str:
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of every document, the licence that it is, and the notices among its lines."""
-    return licences.scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_digests(spark), licences.KEYWORD)
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
