@@ -16,5 +16,5 @@ def test_stages_keep_the_columns(spark, sf):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert ORACLES.keys() <= QUERIES.keys()

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, licences, mixing, personal, quality, sentence_pieces, token_files, topk, toxicity, urls
+from . import (
+    conversations, fingerprints, jaccard, licences, manifest, mixing, personal, quality, sentence_pieces, token_files, topk, toxicity,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +89,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and how like it the edited text and the next document are."""
+    compared = fingerprints.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return compared.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows))
+
+
+def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document in the manifest of its language and of the whole table."""
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_top_k": op2_top_k,
@@ -97,7 +117,12 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_shingle_join": op9_shingle_join,
     "op10_token_files": op10_token_files,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_dataset_manifest": op13_dataset_manifest,
 }
 
 ORACLES: dict[str, str] = {
-    "op1_licence_scan": licences.ORACLE, "op2_top_k": topk.ORACLE, "op5_url_filter": urls.ORACLE, "op6_mixing": mixing.ORACLE}
+    "op1_licence_scan": licences.ORACLE, "op2_top_k": topk.ORACLE, "op5_url_filter": urls.ORACLE, "op6_mixing": mixing.ORACLE,
+    "op11_fingerprints": fingerprints.ORACLE, "op13_dataset_manifest": manifest.ORACLE,
+}
