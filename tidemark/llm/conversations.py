@@ -147,7 +147,7 @@ class Repair:
                 to = _NEXT[state]
                 options.append((to, cost + REROLE_COST + more, REROLE, f"{_NAMES[to]}:{text}"))
                 initial = role[:1]
-                if initial == to or (state == NOTHING and initial == SYSTEM):
+                if initial and (initial == to or (state == NOTHING and initial == SYSTEM)):
                     options.append((initial, cost + more, KEEP, f"{role}:{text}"))
             for to, total, edit, line in options:
                 known = choice.get(to)
@@ -257,7 +257,7 @@ def repair(rows: DataFrame) -> DataFrame:
     """Faults, cost, edits and digest of the repaired text of every conversation.
 
     ``rows`` has conv_id, turn, role, text and left (false: the row only tells that its conversation exists). Rows go by turn,
-    nulls first, and within a turn by role and text; a null conv_id is a conversation. One without rows has zeros, no edits
+    nulls first, and within a turn by role and text; a null conv_id is a conversation; a row of an empty role has no initial and cannot be kept. A conversation without rows has zeros, no edits
     and the digest of an empty text. A conversation passes through one task as a stream, since its digest is a chain over all its
     text; the task holds a few bytes for each edit that is not yet certain, and no text.
     """
