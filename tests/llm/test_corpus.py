@@ -104,7 +104,31 @@ def test_join_of_odd_rows(spark, odd_docs, no_docs):
     got = sorted(map(tuple, jaccard.link_components(odd_docs).collect()), key=key)
     assert got == sorted(components_by_force(rows), key=key)
     assert jaccard.link_components(no_docs).count() == 0
-    assert jaccard.keep_first(odd_docs).columns == odd_docs.columns
+    kept = jaccard.keep_first(odd_docs)
+    assert kept.columns == odd_docs.columns
+    lasting = {r.component_id for r in jaccard.link_components(odd_docs).collect() if r.n_shingles}
+    texts = [r.text for r in kept.collect()]
+    assert len([t for t in texts if t and t.split()]) == len(lasting) and None in texts and "" in texts
+
+
+def test_slices_of_few_words():
+    """Slices of 0 to 6 words in all, for every operator that works on slices."""
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from tidemark.llm import sentence_pieces, token_files
+
+    coder = sentence_pieces.PieceCoder(public_tokenizers.path("piece_bpe_32k.model"))
+    words = "a b c d e f".split()
+    for n in range(7):
+        for texts in ([" ".join(words[:n])], ["", " ".join(words[:n])], [*words[:n]], [" ".join(words[:n]), "  \n"]):
+            column = pa.array(texts, pa.large_string())
+            tokens, ends = jaccard.token_sets(column)
+            assert np.diff(ends).tolist() == [len(t.split()) and max(len(t.split()) - 4, 1) for t in texts]
+            ids, starts = coder.encode_texts(column)
+            assert coder.pieces.decode(ids, starts).to_pylist() == texts
+            assert len(token_files.encode_texts(column, public_tokenizers.path("word_bpe_49k.json"), 2)[1]) == len(texts) + 1
 
 
 def test_length_bands():
@@ -154,7 +178,10 @@ def test_cutoffs_hold_their_risk(spark, odd_docs, no_docs, no_labels):
     assert all(kept[i] for i in kept if i % 50 == 0)  # too few labels there to prove a cutoff
     assert quality.judge(odd_docs, no_labels).where("kept = base_failed").count() == 0
     assert quality.keep_good(no_docs, no_labels).count() == 0
-    assert quality.keep_good(odd_docs, no_labels).columns == odd_docs.columns
+    good = quality.keep_good(odd_docs, no_labels)
+    assert good.columns == odd_docs.columns
+    judged = {repr((r.doc_id, r.n_words)): r.kept for r in quality.judge(odd_docs, no_labels).collect()}
+    assert sorted(map(repr, good.collect())) == sorted(repr(r) for r in odd_docs.collect() if judged[repr((r.doc_id, len((r.text or "").split())))])
 
 
 def test_mix(spark, odd_docs, no_docs):
@@ -202,7 +229,14 @@ def test_bootstrapped_cards_and_redaction(spark, odd_docs, no_docs):
     masked = {r.doc_id: r.text for r in personal.redact(docs).collect()}
     assert masked[0] == "my card <CARD> is fine 0" and "4539" not in masked[44]
     assert personal.find(odd_docs).count() == odd_docs.count() and personal.redact(no_docs).count() == 0
-    assert personal.redact(odd_docs).columns == odd_docs.columns
+    masked = personal.redact(odd_docs)
+    assert masked.columns == odd_docs.columns
+    assert sorted(map(repr, masked.collect())) == sorted(map(repr, odd_docs.collect()))  # nothing to mask
+    some = odd_docs.limit(0).unionByName(spark.createDataFrame(
+        [(1, None, "en", "s", 0, 1, 2), (2, "write to a.b@c.org or +1 (212) 555-0100 now", None, None, None, 1, 2), (None, "ip 10.0.0.1", "en", "s", 11, 1, 2)] * 2, odd_docs.schema))
+    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in personal.redact(some).collect() if r.text) == sorted(
+        [(2, "write to <EMAIL> or <PHONE> now", 31), (0, "ip <IP>", 7)] * 2)
+    assert personal.redact(some).where("text is null and n_chars = 0").count() == 2
 
 
 def test_learned_contexts_find_other_forms(spark):

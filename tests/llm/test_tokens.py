@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -31,9 +32,34 @@ def test_pieces_equal_the_library():
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     coder = sentence_pieces.PieceCoder(PIECES)
     ids, starts = coder.encode_texts(pa.array(docs, pa.large_string()))
-    for doc, want, a, b in zip(docs, library.encode(docs, num_threads=1), starts[:-1], starts[1:]):
+    decoded = coder.pieces.decode(ids, starts).to_pylist()
+    for doc, want, a, b, back in zip(docs, library.encode(docs, num_threads=1), starts[:-1], starts[1:], decoded):
         assert ids[a:b].tolist() == want, doc
-        assert coder.pieces.decode(want) == library.decode(want), doc
+        assert back == library.decode(want), doc
+
+
+def test_long_words_equal_the_library_in_linear_time():
+    import sentencepiece
+
+    library, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    docs = ["".join(r.choice(x) for _ in range(n)) for x in ("ab=-0 1", "the", "etaoinshr") for n in (1, 17, 40, 300) for _ in range(40)]
+    docs += [(x * 1_000_000)[:1_000_000] for x in ("a", "ab", "=", "-=", "the")]
+    docs += ["".join(r.choices(letters, k=1_000_000)), "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(200_000))]
+    coder = sentence_pieces.PieceCoder(PIECES)
+    start = time.process_time()
+    ids, starts = coder.encode_texts(pa.array(docs, pa.large_string()))
+    assert time.process_time() - start < 60  # minutes or hours if it grew with the square of a word
+    for doc, a, b in zip(docs, starts[:-1], starts[1:]):
+        assert ids[a:b].tolist() == library.encode(doc), doc[:40]
+
+
+def test_memory_is_bounded_in_bytes():
+    encode = lambda words: (np.zeros(len(words), np.int32), np.ones(len(words), np.int64))
+    memory = CodedWords(encode, room=1 << 18)
+    for i in range(60):
+        memory.lookup(pa.array([f"{'x' * 200}{i}-{j}" for j in range(100)] + ["y" * 100_000 + str(i)], pa.large_string()))
+        assert sum(run.nbytes for run in memory.runs) <= 1 << 18
 
 
 def test_words_equal_the_library():

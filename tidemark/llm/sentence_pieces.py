@@ -3,9 +3,10 @@
 All distinct words of a slice of texts lie end to end in flat symbol arrays. A round takes
 the best pair rank of every word (a segmented minimum), merges that pair at its leftmost
 places in all words at once, and closes the gaps; a word leaves when no pair of its
-symbols forms a piece. Where a merged piece could at once enter a better (or equal) merge,
-only the leftmost place of the word is merged in that round, so the order of merges is
-always the one of a word coded on its own.
+symbols forms a piece. In a word longer than any piece, a pair need only be the best as far as a piece can
+reach, so distant parts of one long word merge side by side. Where a merge would make a pair that is better
+than it (or as good), the places that follow within that reach wait for the next round, so the result is
+always the one of a word coded by one merge after the other.
 """
 
 from __future__ import annotations
@@ -17,10 +18,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .words import CodedWords, ids_of_words, slices, text_array, worker_state
+from .words import CodedWords, ids_of_words, ragged, slices, text_array, worker_state
 
 SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
+_CUT_EVERY = 8  # rounds from one search for finished parts of long words to the next
+
+
+def _least_near(values: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The least value from ``before`` places before each one to ``after`` places after it."""
+    low = np.concatenate([np.full(before, _NONE), values, np.full(after, _NONE)])
+    have, width = 1, before + after + 1
+    while 2 * have <= width:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    return np.minimum(low[: -(width - have)], low[width - have :]) if have < width else low
 
 
 class Pieces:
@@ -37,13 +49,17 @@ class Pieces:
         if any(model.is_unused(i) for i in range(n)) or any(SPACE in p.lstrip(SPACE) for p in plain):
             raise ValueError("this model joins words or has unused pieces")
         self.byte_ids = np.zeros(256, np.int32)
-        self.bytes_of: list[bytes] = []
+        bytes_of: list[bytes] = []
         for i, p in enumerate(pieces):
             if model.is_byte(i):
                 self.byte_ids[int(p[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(p[3:5], 16)]))
+                spelt = bytes([int(p[3:5], 16)])
             else:
-                self.bytes_of.append(b"" if special[i] else p.replace(SPACE, " ").encode())
+                spelt = b"" if special[i] else p.replace(SPACE, " ").encode()
+            bytes_of.append(spelt)
+        self.spelt = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.spelt_size = np.fromiter(map(len, bytes_of), np.int64, n)
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
         # Symbols are pieces, then characters that occur in pieces only, then any other character.
         symbol = dict(plain)
         for c in sorted({c for p in plain for c in p} - plain.keys()):
@@ -56,11 +72,7 @@ class Pieces:
         self.char_symbols = np.array([i for _, i in chars], np.int64)
         scores = {p: model.get_score(i) for p, i in plain.items()}
         order = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
-        tied = len(order) < len(scores)
-        shared: dict[float, int] = {}
-        for s in scores.values():
-            shared[s] = shared.get(s, 0) + 1
-        keys, ranks, merged, careful = [], [], [], set()
+        keys, ranks, merged = [], [], []
         for p, i in plain.items():
             for cut in range(1, len(p)):
                 a, b = symbol.get(p[:cut]), symbol.get(p[cut:])
@@ -68,15 +80,12 @@ class Pieces:
                     keys.append(a * self.span + b)
                     ranks.append(order[scores[p]])
                     merged.append(i)
-                    careful |= {part for part in (p[:cut], p[cut:]) if part in scores and scores[part] <= scores[p]}
-        if tied:
-            careful |= {p for p, s in scores.items() if shared[s] > 1}
         at = np.argsort(keys)
         self.keys = np.array(keys, np.int64)[at]
         self.ranks = np.array(ranks, np.int32)[at]
         self.merged = np.array(merged, np.int64)[at]
-        self.careful = np.zeros(n, bool)
-        self.careful[[plain[p] for p in careful]] = True
+        #: Symbols to either side that can matter to a pair: no piece is longer.
+        self.reach = max(map(len, plain)) + 2
         self.breaks_lines = not any("\n" in p for p in plain)
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,60 +101,106 @@ class Pieces:
         text[text == 0x20] = ord(SPACE)
         at = np.minimum(np.searchsorted(self.chars, text), len(self.chars) - 1)
         symbols = np.where(self.chars[at] == text, self.char_symbols[at], self.others + text)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        word = np.flatnonzero(sizes)
-        sizes = sizes[word]
+        at = np.cumsum(lengths) - lengths  # where each part of a word began
+        at, sizes = at[lengths > 0], lengths[lengths > 0]
         rank, into = np.full(len(symbols), _NONE), np.full(len(symbols), -1, np.int64)
         if len(symbols) > 1:
             rank[:-1], into[:-1] = self.pairs(symbols[:-1], symbols[1:])
         rank[np.cumsum(sizes) - 1] = _NONE  # no pair reaches into the next word
-        while len(word):
+        rounds = 0
+        while len(at):
+            rounds += 1
             starts = np.cumsum(sizes) - sizes
             best = np.minimum.reduceat(rank, starts)
             ended = best == _NONE
             if ended.any():
                 out = np.repeat(ended, sizes)
-                done.append((word[ended], sizes[ended], symbols[out]))
+                done.append((at[ended], sizes[ended], symbols[out]))
                 symbols, rank, into = symbols[~out], rank[~out], into[~out]
-                word, sizes, best = word[~ended], sizes[~ended], best[~ended]
-                if not len(word):
+                at, sizes, best = at[~ended], sizes[~ended], best[~ended]
+                if not len(at):
                     break
-                starts = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(word)), sizes)
-            hits = np.flatnonzero(rank == best[owner])
-            run = np.diff(hits, prepend=-2) != 1  # places that overlap: every second one of a run merges
-            of_run = np.cumsum(run) - 1
-            keep = (np.arange(len(hits)) - np.flatnonzero(run)[of_run]) % 2 == 0
-            first = np.diff(owner[hits], prepend=-1) != 0
-            some = np.zeros(len(word), bool)
-            some[owner[hits[self.careful[into[hits]]]]] = True
-            hits = hits[np.where(some[owner[hits]], first, keep)]
+            long = sizes > self.reach
+            if rounds % _CUT_EVERY == 0 and long.any():
+                at, sizes = self._cut(at, sizes, rank)
+                continue
+            owner = np.repeat(np.arange(len(at)), sizes)
+            hits = self._safe(symbols, rank, into, owner, best[owner], long[owner] if long.any() else None)
             symbols[hits] = into[hits]
             stay = np.ones(len(symbols), bool)
             stay[hits + 1] = False
             place = np.cumsum(stay) - 1
-            sizes = sizes - np.bincount(owner[hits], minlength=len(word))
+            sizes = sizes - np.bincount(owner[hits], minlength=len(at))
             symbols, rank, into, owner = symbols[stay], rank[stay], into[stay], owner[stay]
             new = place[hits]
-            for at in (new, new[new > 0] - 1):  # the pairs on both sides of what was merged
-                inside = at[(at + 1 < len(symbols)) & (owner[np.minimum(at + 1, len(owner) - 1)] == owner[at])]
-                rank[at], into[at] = _NONE, -1
+            for near in (new, new[new > 0] - 1):  # the pairs on both sides of what was merged
+                inside = near[(near + 1 < len(symbols)) & (owner[np.minimum(near + 1, len(owner) - 1)] == owner[near])]
+                rank[near], into[near] = _NONE, -1
                 rank[inside], into[inside] = self.pairs(symbols[inside], symbols[inside + 1])
-        return self._ids(len(words), done)
+        return self._ids(lengths, done)
+
+    def _cut(self, at: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cut long words where no pair within reach forms a piece: nothing can change there, and the parts end on their own."""
+        quiet = _least_near(rank, self.reach, self.reach) == _NONE
+        ends = np.cumsum(sizes)
+        cut = np.zeros(len(rank), bool)
+        cut[ends - 1] = True
+        cut |= quiet & np.repeat(sizes > self.reach, sizes)
+        last = np.flatnonzero(cut)
+        parts = np.diff(last, prepend=-1)
+        # A part's key keeps the order of the parts of its word: symbols stand for at least one character each.
+        first = last - parts + 1
+        word = np.searchsorted(ends, first, side="right")
+        return at[word] + first - (ends - sizes)[word], parts
+
+    def _safe(self, symbols, rank, into, owner, best, long) -> np.ndarray:
+        """The places whose merge cannot be forestalled, in order.
+
+        ``best`` is the least rank of the place's word. ``long`` marks places in long words: there the least rank
+        within reach counts, and a place waits if one of equal rank to its left is not itself the least around.
+        """
+        if long is None:
+            reach = len(symbols)
+            hits = np.flatnonzero(rank == best)
+        else:
+            reach = self.reach
+            best = np.where(long, _least_near(rank, reach, reach), best)
+            hits = np.flatnonzero((rank == best) & (rank != _NONE))
+        run = np.diff(hits, prepend=-2) != 1  # places that overlap: every second one of a run merges
+        keep = (np.arange(len(hits)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
+        hits = hits[keep]
+        r, made, mine = rank[hits], into[hits], owner[hits]
+        follows = np.zeros(len(hits), bool)
+        follows[1:] = (np.diff(hits) == 2) & (mine[1:] == mine[:-1])
+        left = np.where(follows, np.concatenate([made[:1], made[:-1]]), symbols[np.maximum(hits - 1, 0)])
+        has_left = (hits > 0) & (owner[np.maximum(hits - 1, 0)] == mine)
+        after = np.minimum(hits + 2, len(symbols) - 1)
+        has_right = (hits + 2 < len(symbols)) & (owner[after] == mine)
+        danger = (has_left & (self.pairs(left, made)[0] <= r)) | (has_right & (self.pairs(made, symbols[after])[0] <= r))
+        near = np.zeros(len(hits), bool)
+        near[1:] = (mine[1:] == mine[:-1]) & (np.diff(hits) <= reach)
+        blocked = np.zeros(len(hits), bool)
+        if long is not None:
+            others = np.where(rank == best, _NONE, rank)
+            blocked = long[hits] & (_least_near(others, reach, 0)[hits] <= r)
+        group = np.maximum.accumulate(np.where(near, 0, np.arange(len(hits))))
+        earlier = np.cumsum(danger) - danger + np.cumsum(blocked) - blocked
+        return hits[earlier + blocked == earlier[group]]
 
-    def _ids(
-        self, n_words: int, done: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """The finished words in their first order, other characters as bytes."""
-        counts = np.zeros(n_words, np.int64)
+    def _ids(self, lengths: np.ndarray, done: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The finished parts in the order of their places, other characters as bytes."""
+        n_words = len(lengths)
         if not done:
-            return np.zeros(0, np.int32), counts
-        word = np.concatenate([w for w, _, _ in done])
+            return np.zeros(0, np.int32), np.zeros(n_words, np.int64)
+        at = np.concatenate([a for a, _, _ in done])
         sizes = np.concatenate([s for _, s, _ in done])
         symbols = np.concatenate([s for _, _, s in done])
-        order = np.argsort(np.repeat(word, sizes), kind="stable")
-        owner, symbols = np.repeat(word, sizes)[order], symbols[order]
+        at = np.repeat(at, sizes)
+        order = np.argsort(at, kind="stable")
+        symbols = symbols[order]
+        owner = np.searchsorted(np.cumsum(lengths) - lengths, at[order], side="right") - 1
         bare = symbols >= self.n_ids
         if bare.any():
             of = {i: c for c, i in zip(self.chars.tolist(), self.char_symbols.tolist())}
@@ -160,11 +215,20 @@ class Pieces:
             symbols, owner = ids, np.repeat(owner, widths)
         return symbols.astype(np.int32), np.bincount(owner, minlength=n_words)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids that ``encode_texts`` gave, without the space put before it."""
-        table = self.bytes_of
-        text = b"".join([table[i] for i in ids])
-        return text[text[:1] == b" " :].decode("utf-8", "replace")
+    def decode(self, flat: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The texts of ids that ``encode_texts`` gave, without the space put before each."""
+        sizes = self.spelt_size[flat]
+        data = self.spelt[ragged(self.spelt_at[flat], sizes)]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[starts]
+        spaced = (np.diff(bounds) > 0) & (data[np.minimum(bounds[:-1], max(len(data) - 1, 0))] == 0x20) if len(data) else np.zeros(len(starts) - 1, bool)
+        stay = np.ones(len(data), bool)
+        stay[bounds[:-1][spaced]] = False
+        bounds = np.concatenate([[0], np.cumsum(stay)])[bounds]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[stay])])
+        try:
+            return found.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([b.decode("utf-8", "replace") for b in found.to_pylist()], pa.string())
 
 
 class PieceCoder:
@@ -232,10 +296,7 @@ def encode_decode(docs: DataFrame, model: str, ids: str = "ids", decoded: str =
             own = coder(model)
             flat, starts = own.encode_texts(text_array(batch.column(at)))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
-            values = flat.tolist()
-            texts = [own.pieces.decode(values[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, lists, pa.array(texts, pa.string())], names=[*batch.schema.names, ids, decoded]
-            )
+            texts = own.pieces.decode(flat, starts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=[*batch.schema.names, ids, decoded])
 
     return docs.select(*[F.col(f"`{f.name.replace('`', '``')}`") for f in kept]).mapInArrow(run, schema)

@@ -13,16 +13,19 @@ import pyarrow.compute as pc
 
 #: Text bytes that a task works on at once; one longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
-#: Words a worker remembers (about 50 bytes each) before it forgets the rarer half.
-CACHED_WORDS = 400_000
+#: Bytes of words and ids that a worker remembers before it forgets the rarer half.
+CACHED_BYTES = 12 << 20
+#: A word longer than this is coded anew each time.
+LONG_WORD = 256
 
 
 def worker_state(key: Hashable, make: Callable[[], Any]) -> Any:
-    """One object per Python worker, kept from task to task (task code itself is sent anew with every job)."""
-    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """One object per Python worker, kept from task to task until a task asks for another key (task code itself is sent anew with every job)."""
+    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
+    if getattr(kept, "key", None) != key:
+        kept.value = None
+        kept.key, kept.value = key, make()
+    return kept.value
 
 
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -77,41 +80,102 @@ class CodedWords:
     """Ids of words, each distinct word coded once while it is remembered.
 
     ``encode`` codes a list of words and returns their ids end to end and the number of ids of each.
-    When the memory is full, the half that was asked for most often stays. It is kept as Arrow and numpy arrays, which take a few
-    bytes a word and leave no holes.
+    Words lie in runs, each with its own index, whose sizes at least halve from one to the next; new words are a run of
+    their own, and runs of like size are merged. So a slice pays for its own words, not for all that are remembered. Beyond
+    ``room`` bytes the half that was asked for most often stays.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], room: int = CACHED_WORDS):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], room: int = CACHED_BYTES):
         self.encode, self.room = encode, room
-        self.words = pa.array([], pa.large_string())
-        self.flat = np.zeros(0, np.int32)
-        self.starts, self.counts, self.asked = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _forget(self) -> None:
-        kept = np.sort(np.argsort(-self.asked, kind="stable")[: self.room // 2])
-        self.words = self.words.take(pa.array(kept))
-        self.flat = self.flat[ragged(self.starts[kept], self.counts[kept])]
-        self.counts = self.counts[kept]
-        self.starts = np.cumsum(self.counts) - self.counts
-        self.asked = self.asked[kept] // 2
+        self.runs: list[_Run] = []
+
+    def _add(self, run: _Run) -> None:
+        self.runs.append(run)
+        while len(self.runs) > 1 and 2 * len(self.runs[-1].keys) >= len(self.runs[-2].keys):
+            last = self.runs.pop()
+            self.runs[-1] = self.runs[-1].with_words(last)
+        if sum(r.nbytes for r in self.runs) > self.room:
+            whole = self.runs[0]
+            for other in self.runs[1:]:
+                whole = whole.with_words(other)
+            self.runs = [whole.popular_half()]
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids remembered so far, and where each of the distinct words' ids start and how many they are."""
-        if len(self.words) > self.room:
-            self._forget()
-        rows = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        unknown = np.flatnonzero(rows < 0)
-        if len(unknown):
-            new = words.take(pa.array(unknown))
-            ids, counts = self.encode(new.to_pylist())
-            rows[unknown] = np.arange(len(self.words), len(self.words) + len(new))
-            self.words = pa.concat_arrays([self.words, new])
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            self.asked = np.concatenate([self.asked, np.zeros(len(new), np.int64)])
-        self.asked[rows] += 1
-        return self.flat, self.starts[rows], self.counts[rows]
+        """Ids end to end, and where each of the distinct words' ids start and how many they are."""
+        keys = _word_keys(words)
+        starts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        todo, parts, base = np.arange(len(words)), [], 0
+        for run in self.runs:
+            at, known = run.find(keys[todo], words.take(pa.array(todo)))
+            starts[todo[known]] = base + run.starts[at]
+            counts[todo[known]] = run.counts[at]
+            run.asked[at] += 1
+            parts.append(run.flat)
+            base += len(run.flat)
+            todo = todo[~known]
+        if len(todo):
+            new = words.take(pa.array(todo))
+            ids, n_ids = self.encode(new.to_pylist())
+            n_ids = n_ids.astype(np.int64)
+            first = np.cumsum(n_ids) - n_ids
+            starts[todo], counts[todo] = base + first, n_ids
+            parts.append(ids.astype(np.int32))
+            short = np.flatnonzero(pc.binary_length(new).to_numpy(zero_copy_only=False) <= LONG_WORD)
+            if len(short):
+                self._add(_Run.of(keys[todo[short]], new.take(pa.array(short)), ids[ragged(first[short], n_ids[short])].astype(np.int32), n_ids[short]))
+        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), starts, counts
+
+
+class _Run:
+    """Words in order of their hashes, with their ids."""
+
+    def __init__(self, keys: np.ndarray, words: pa.Array, flat: np.ndarray, counts: np.ndarray, asked: np.ndarray):
+        self.keys, self.words, self.flat, self.counts, self.asked = keys, words, flat, counts, asked
+        self.starts = np.cumsum(counts) - counts
+        self.nbytes = keys.nbytes + words.nbytes + flat.nbytes + 3 * counts.nbytes
+
+    @staticmethod
+    def of(keys: np.ndarray, words: pa.Array, flat: np.ndarray, counts: np.ndarray, asked: np.ndarray | None = None) -> _Run:
+        order = np.argsort(keys, kind="stable")
+        starts = np.cumsum(counts) - counts
+        asked = np.zeros(len(keys), np.int64) if asked is None else asked[order]
+        return _Run(keys[order], words.take(pa.array(order)), flat[ragged(starts[order], counts[order])], counts[order], asked)
+
+    def with_words(self, other: _Run) -> _Run:
+        both = lambda name: np.concatenate([getattr(self, name), getattr(other, name)])
+        return _Run.of(both("keys"), pa.concat_arrays([self.words, other.words]), both("flat"), both("counts"), both("asked"))
+
+    def popular_half(self) -> _Run:
+        kept = np.sort(np.argsort(-self.asked, kind="stable")[: len(self.keys) // 2])
+        return _Run(self.keys[kept], self.words.take(pa.array(kept)), self.flat[ragged(self.starts[kept], self.counts[kept])], self.counts[kept], self.asked[kept] // 2)
+
+    def find(self, keys: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known ones among ``words``, and which they are; a word whose hash belongs to another one counts as unknown."""
+        if not len(self.keys) or not len(keys):
+            return np.zeros(0, np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        hit = np.flatnonzero(known)
+        same = pc.equal(self.words.take(pa.array(at[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        known[hit[~same]] = False
+        return at[known], known
+
+
+def _word_keys(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    own = raw[bounds[0] : bounds[-1]].astype(np.uint64)
+    lengths = np.diff(bounds)
+    place = np.arange(len(own)) - np.repeat(bounds[:-1] - bounds[0], lengths)
+    h = (own + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9) + (place.astype(np.uint64) << np.uint64(1))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
+    ends = bounds - bounds[0]
+    key = total[ends[1:]] - total[ends[:-1]] + lengths.astype(np.uint64)
+    return key ^ (key >> np.uint64(31))
 
 
 def ids_of_words(
