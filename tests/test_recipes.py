@@ -2,6 +2,7 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.chained import fit_chained
 from tidemark.operators.mutual_info import mutual_information
 from tidemark.operators.neighbours import knn_impute
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators import quantiles, repair
+from tidemark.operators.counts import distinct_counts
+from tidemark.operators.profile import profile
+from tidemark.operators.quantiles import exact_quantiles, spreads
 from tidemark.operators.ranks import hashed_rank, range_bucket
 from tidemark.operators.smote import oversample
 from tidemark.plans.evaluate import combine_scores, sample_quotas, score_recipes, stratified_folds
@@ -19,7 +23,8 @@ from tidemark.plans.ranking import recommend, refine_round, select_recipe
 from tidemark.plans.recipes import RECIPES, enhance, fit_pca, recipe_names, recipe_table
 from tidemark.plans.terrain import characterize
 from tidemark.plans.validation import validate_classification
-from tidemark.sources.history import empty_history, load_history, save_history, update_history
+from tidemark.sources import history as store_module
+from tidemark.sources.history import commit_scores, empty_history, load_history, save_history, update_history
 
 
 def frame(spark, x, names, ids=True, extra=None):
@@ -33,14 +38,73 @@ def frame(spark, x, names, ids=True, extra=None):
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
-def test_quantile_search_equals_sorting_with_a_hot_value(spark):
-    rng = np.random.default_rng(3)
-    v = np.where(rng.random(4000) < 0.34, 5.0, np.round(rng.lognormal(1, 1, 4000), 3))
-    df = frame(spark, v[:, None], ["v"])
+def hot_values(seed, n=4000):
+    rng = np.random.default_rng(seed)
+    return np.where(rng.random(n) < 0.34, 5.0, np.round(rng.lognormal(1, 1, n), 3))
+
+
+@pytest.mark.parametrize("misled", [False, True])
+def test_quantiles_equal_sorting(spark, monkeypatch, misled):
+    """Also where sketches are coarse and trusted beyond reason, so that ranks fall into gaps."""
+    if misled:
+        monkeypatch.setattr(quantiles, "SKETCH_SIZE", 8)
+        monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    v = np.stack([hot_values(3), np.arange(4000.0), np.full(4000, 2.0), np.where(np.arange(4000) % 2, 0.0, np.arange(4000.0))], axis=1)
+    v[:37, 1] = np.nan
+    df = frame(spark, v, ["a", "b", "c", "d"])
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns], F.lit(None).cast("double").alias("e"))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    want = np.quantile(v, probs)
-    for small in (10**6, 50):
-        assert np.allclose(exact_quantiles(df, {"v": F.col("v")}, probs, small=small, pilot=100)["v"], want, atol=1e-9)
+    got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, probs)
+    for i, c in enumerate("abcd"):
+        assert np.allclose(got[c], np.nanquantile(v[:, i], probs), rtol=0, atol=1e-9), c
+    assert got["e"] == [None] * len(probs)
+
+
+@pytest.mark.parametrize("misled", [False, True])
+def test_spreads_equal_numpy(spark, monkeypatch, misled):
+    if misled:
+        monkeypatch.setattr(quantiles, "SKETCH_SIZE", 8)
+        monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    rng = np.random.default_rng(9)
+    v = np.stack([
+        hot_values(5), rng.normal(0, 1, 4000), np.where(rng.random(4000) < 0.6, 0.0, rng.normal(0, 9, 4000)), np.full(4000, 2.0),
+        np.where(rng.random(4000) < 0.5, 1.0, rng.normal(0, 9, 4000)), rng.standard_cauchy(4000), np.where(rng.random(4000) < 0.9, 0.0, 1.0),
+    ], axis=1)
+    df = frame(spark, v, list("abcdefg"))
+    got = spreads(df, {c: F.col(c) for c in df.columns}, [0.01, 0.5, 0.99])
+    for i, c in enumerate("abcdefg"):
+        x = v[:, i]
+        q1, med, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        mad = np.median(np.abs(x - med))
+        extreme = np.abs(0.6745 * (x - med) / mad) > 3.5 if mad > 0 else (x < q1 - 3 * (q3 - q1)) | (x > q3 + 3 * (q3 - q1)) if q3 > q1 else x < x
+        assert np.allclose(got[c].quantiles, np.quantile(x, [0.01, 0.5, 0.99])), c
+        assert np.isclose(got[c].deviation, mad) and got[c].extreme == extreme.sum(), c
+
+
+def test_a_profile_takes_three_scans(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    n = 3000
+    df = frame(spark, np.stack([hot_values(1, n), np.arange(n) % 7], axis=1), ["a", "b"]).withColumn("t", F.col("b").cast("string"))
+    seen = df.mapInArrow(counted, df.schema)
+    assert exact_quantiles(seen, {"a": F.col("a")}, [0.1, 0.5]) and rows.value == 2 * n
+    rows.value = 0
+    report = profile(seen)
+    assert rows.value == 3 * n
+    copies = {tuple(r) for r in df.collect()}
+    assert report.dataset_row["n_duplicate_rows"] == n - len(copies)
+
+
+def test_row_digests_tell_cells_apart(spark):
+    df = spark.createDataFrame([("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("-", "ab"), ("a", "b")], "x string, y string")
+    assert distinct_counts(df, ["x"], rows=True)[None] == 5
+    zero = spark.createDataFrame([(0.0,), (-0.0,), (None,)], "x double")
+    assert distinct_counts(zero, ["x"], rows=True) == {"x": 1, None: 2}
 
 
 def test_bucketed_rank_equals_plain_rank(spark):
@@ -273,3 +337,49 @@ def test_ranking_with_any_classifier_and_labels_checked(spark):
     assert not done.error and done.predict(df, ["id"]).count() == 40
     with pytest.raises(ValueError, match="missing"):
         rank_recipes(df.withColumn("label", F.when(F.col("id") > 1, F.col("label"))), "label", ids=["id"])
+
+
+def test_two_writers_keep_both_updates(spark, tmp_path, monkeypatch):
+    """The second writer commits between the first one's reading and its claim."""
+    store = str(tmp_path / "h")
+    rows = lambda reward: spark.createDataFrame([("s", "phalanx", reward)], "signature string, recipe string, reward double")
+    commit_scores(rows(0.2), store)
+    write, other = store_module._write, []
+
+    def late(history, path, number):
+        target = write(history, path, number)
+        if not other:
+            other.append(True)
+            commit_scores(rows(0.4), store)
+        return target
+
+    monkeypatch.setattr(store_module, "_write", late)
+    commit_scores(rows(0.9), store)
+    row = load_history(spark, store).first()
+    assert row["n"] == 3 and abs(row["mean"] - 0.5) < 1e-12
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: commit_scores(rows(0.5), store), range(4)))
+    assert load_history(spark, store).first()["n"] == 7
+
+
+def test_enhance_refuses_unfit_tables(spark):
+    rows = [(i, float(i), None if i == 3 else i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, a double, label int")
+    with pytest.raises(ValueError, match="missing values"):
+        enhance(df, "phalanx", "label", ["id"])
+    with pytest.raises(ValueError, match="at least 2 rows"):
+        enhance(df.where("label is not null").withColumn("label", F.when(F.col("id") == 5, 9).otherwise(F.col("label"))), "phalanx", "label", ["id"])
+    with pytest.raises(ValueError, match="reserved"):
+        enhance(df.withColumn("_row_origin", F.lit(1)), "phalanx", "label", ["id"])
+
+
+def test_copies_are_found_by_digest(spark, monkeypatch):
+    rows = [(i % 50, "x" if i % 50 < 10 else f"t{i}", 0.0 if i % 3 else -0.0, i) for i in range(600)] + [(None, None, None, 900), (None, None, None, 901)]
+    df = spark.createDataFrame(rows, "a int, b string, c double, id long").repartition(4)
+    for few in (10**6, -1):
+        monkeypatch.setattr(repair, "FEW_DIGESTS", few)
+        assert sorted(map(repr, repair.without_copies(df.drop("id")).collect())) == sorted(map(repr, df.drop("id").dropDuplicates().collect()))
+        kept = repair.without_copies(df, ["id"])
+        assert kept.columns == df.columns
+        first = df.groupBy("a", "b", "c").agg(F.min("id").alias("id")).select("a", "b", "c", "id")
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, first.collect()))

@@ -19,7 +19,7 @@ from .plans.recipes import enhance, fit_recipe, recipe_names, recipe_table  # no
 from .plans.terrain import characterize  # noqa: E402
 from .plans.validation import validate_classification  # noqa: E402
 from .sources.csv import read_csv_multiline, read_csv_repaired  # noqa: E402
-from .sources.history import load_history, save_history, update_history  # noqa: E402
+from .sources.history import commit_scores, load_history, save_history, update_history  # noqa: E402
 
 __all__ = [
     "apply_plan", "build_plan", "characterize", "clean", "compare_quality", "enhance", "export", "fill_missing",

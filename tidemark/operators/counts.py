@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import q
 from ..session import is_moment, is_real, is_text, is_whole
@@ -40,16 +40,35 @@ def value_counts(df: DataFrame, columns: list[str], digest_long_text: bool = Fal
     return long.where(present).groupBy("pos", "text", "real", "whole").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> dict[str, int]:
-    """Exact (or approximate) number of distinct non-null values per column."""
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a row's cells (hex): equal rows, equal digests. A cell is its length and text, or ``-`` for NULL."""
+    cells = []
+    for name in df.columns:
+        cell = q(name)
+        text = (cell + F.lit(0.0) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else cell).cast("string")  # -0.0 is 0.0
+        cells.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat(*cells))
+
+
+def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False, rows: bool = False) -> dict[str | None, int]:
+    """Exact (or approximate) number of distinct non-null values per column; with ``rows`` under None also that of whole rows.
+
+    Rows count by their digest, whatever ``approx`` says: 16 bytes of each move, not the rows.
+    """
     if not columns:
         return {}
     if approx:
         row = df.agg(*[F.approx_count_distinct(q(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        return {c: row[i] for i, c in enumerate(columns)}
+        found = {c: row[i] for i, c in enumerate(columns)}
+        if rows:
+            found[None] = df.select(row_digest(df).alias("d")).groupBy("d").count().count()
+        return found
+    if rows:
+        df, columns = df.withColumn("__row_digest", row_digest(df)), [*columns, "__row_digest"]
     per = value_counts(df, columns, digest_long_text=True).groupBy("pos").agg(F.count(F.lit(1)).alias("k"))
-    found = {r["pos"]: r["k"] for r in per.collect()}
-    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+    counted = {r["pos"]: r["k"] for r in per.collect()}
+    found = {c: counted.get(i, 0) for i, c in enumerate(columns)}
+    return {(None if c == "__row_digest" and rows else c): k for c, k in found.items()}
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:

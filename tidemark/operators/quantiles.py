@@ -1,142 +1,156 @@
-"""Exact quantiles (linear interpolation) that hold at any row count.
-
-``percentile`` keeps every distinct value of a column in one task. Columns of
-counted, limited size are instead pre-aggregated to value counts and read off a
-running count; beyond that the search below narrows an open interval around each
-wanted order statistic. A pilot of bounded size
-proposes the interval, a full counting pass proves where the wanted rank lies,
-so the pilot affects speed only, never the result.
+"""Exact quantiles (linear interpolation), deviations and extremes of any number of columns in two scans.
+
+The first scan makes a mergeable KLL sketch of each column. It tells, with a safety margin, the zones in which
+the wanted order statistics must lie. The second scan counts: a value in a zone by itself, any other by the gap
+between zones in which it lies. Both combine map-side, so a hot value is one row a task and only the zones' values
+(well under a hundredth of a column for each) are ever shuffled. Ranks are then read off that table. The counts prove every
+result; where a sketch has misled, the gap in question becomes a zone and is counted again.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL = 1_000_000      # values per column the built-in aggregate may hold
-PILOT = 50_000         # pilot values per search
-_CHUNK = 48            # targets per aggregate, to stay inside codegen limits
+from ..session import materialise
+
+SKETCH_SIZE = 8192     # k of a sketch: about 160 KB, ranks off by less than 0.07 % in 99 of 100 cases
+MARGIN = 0.002         # of all values, on either side of a rank read off a sketch
+_GRID = 1024           # steps of the distribution that reaches the driver
+_CHUNK = 48            # columns per aggregate
+_RANKS = ",".join(str(i / _GRID) for i in range(_GRID + 1))
+_ALL = (-math.inf, math.inf)
+
+
+def sketch_of(v: Column) -> Column:
+    """Aggregate: evenly spaced quantiles of a column of doubles, from a sketch; null without a value."""
+    ranks = F.split(F.lit(_RANKS), ",").cast("array<double>")
+    return F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE)), ranks))
 
 
 @dataclass
-class _Search:
-    """Wanted 0-based order statistics known to lie in one open interval."""
-
-    column: str
-    ranks: list[int]
-    low: float | None      # None = unbounded
-    high: float | None
-    below: int             # values <= low
-    inside: int            # values in the interval
-
-
-def _within(v: Column, s: _Search) -> Column:
-    cond = v.isNotNull()
-    if s.low is not None:
-        cond = cond & (v > F.lit(s.low))
-    if s.high is not None:
-        cond = cond & (v < F.lit(s.high))
-    return cond
-
-
-def _aggregate(df: DataFrame, exprs: list[Column]) -> list:
-    out: list = []
-    for i in range(0, len(exprs), _CHUNK):
-        part = exprs[i : i + _CHUNK]
-        out += list(df.agg(*[e.alias(f"e{j}") for j, e in enumerate(part)]).first())
+class Sketch:
+    """Number of values and about evenly spaced quantiles, and what they surely tell."""
+
+    n: int
+    grid: np.ndarray
+
+    @property
+    def slack(self) -> float:
+        return MARGIN + 2.0 / self.n
+
+    def quantile(self, p: float) -> tuple[float, float]:
+        """Values between which quantile ``p`` lies."""
+        lo, hi = math.floor((p - self.slack) * _GRID), math.ceil((p + self.slack) * _GRID)
+        return (self.grid[lo] if lo >= 0 else -math.inf, self.grid[hi] if hi <= _GRID else math.inf)
+
+    def at_most(self, x: np.ndarray, side: str = "right") -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the share of values up to ``x`` (below it with ``side`` left)."""
+        at = np.searchsorted(self.grid, x, side)
+        return np.clip((at - 1) / _GRID - self.slack, 0, 1), np.clip(at / _GRID + self.slack, 0, 1)
+
+    def deviation(self, low: float, high: float) -> tuple[float, float]:
+        """Bounds of the median distance from a median between ``low`` and ``high``."""
+        ends = [m for m in (low, high) if math.isfinite(m)]
+        if len(ends) < 2:
+            return 0.0, math.inf
+        d = np.unique(np.abs(np.concatenate([self.grid - m for m in ends])))
+        most = self.at_most(high + d)[1] - self.at_most(low - d, "left")[0]
+        least = self.at_most(low + d)[0] - self.at_most(high - d, "left")[1]
+        under, over = np.flatnonzero(most < 0.5 - self.slack), np.flatnonzero(least > 0.5 + self.slack)
+        return (float(d[under[-1]]) if len(under) else 0.0, float(d[over[0]]) if len(over) else math.inf)
+
+
+def sketches(df: DataFrame, columns: dict[str, Column]) -> dict[str, Sketch | None]:
+    """One scan for up to 48 columns; None without values."""
+    names, out = list(columns), {}
+    src = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    for start in range(0, len(names), _CHUNK):
+        chunk = range(start, min(start + _CHUNK, len(names)))
+        aggs = [a for i in chunk for a in (F.count(f"v{i}").alias(f"n{i}"), sketch_of(F.col(f"v{i}")).alias(f"s{i}"))]
+        row = src.agg(*aggs).first()
+        for i in chunk:
+            out[names[i]] = Sketch(row[f"n{i}"], np.array(row[f"s{i}"])) if row[f"n{i}"] else None
     return out
 
 
-def _propose(df: DataFrame, searches: list[_Search], pilot: int, seed: int) -> list:
-    """Two data values per search that probably enclose its ranks."""
-    exprs = []
-    for s in searches:
-        share = min(1.0, pilot / s.inside)
-        picks = min(pilot, s.inside)
-        ps = [(r - s.below) / max(s.inside - 1, 1) for r in s.ranks]
-        spread = 3.0 * math.sqrt(max(ps[0] * (1 - ps[0]), 1.0 / picks) / picks) + 2.0 / picks
-        picked = F.when(_within(F.col(s.column), s) & (F.col("_r") < share), F.col(s.column))
-        ends = F.array(F.lit(max(0.0, min(ps) - spread)), F.lit(min(1.0, max(ps) + spread)))
-        exprs.append(F.percentile(picked, ends))
-    return _aggregate(df.withColumn("_r", F.rand(seed)), exprs)
+def _merged(zones: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(zones):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _narrow(df: DataFrame, searches: list[_Search], small: int, pilot: int) -> dict[tuple[str, int], float]:
-    """Value of every wanted order statistic."""
-    found: dict[tuple[str, int], float] = {}
-    seed = 0
-    while True:
-        wide = [s for s in searches if s.inside > small]
-        searches = [s for s in searches if s.inside <= small]
-        if not wide:
-            break
-        seed += 1
-        bounds = _propose(df, wide, pilot, seed)
-        counts = []
-        for s, b in zip(wide, bounds):
-            v = F.col(s.column)
-            a, z = b or (None, None)
-            for cond in (v < a, v == a, (v > a) & (v < z), v == z) if b else ():
-                counts.append(F.count_if(_within(v, s) & cond))
-        got = iter(_aggregate(df, counts))
-        for s, b in zip(wide, bounds):
-            if not b:
-                searches.append(s)
-                continue
-            a, z = float(b[0]), float(b[1])
-            under, at_a, mid, at_z = (next(got) for _ in range(4))
-            edge = [s.below + under, s.below + under + at_a]
-            edge.append(edge[1] + mid)
-            edge.append(edge[2] + (at_z if z > a else 0))
-            parts: dict[str, list[int]] = {"under": [], "mid": [], "over": []}
-            for r in s.ranks:
-                if r < edge[0]:
-                    parts["under"].append(r)
-                elif r < edge[1]:
-                    found[s.column, r] = a
-                elif r < edge[2]:
-                    parts["mid"].append(r)
-                elif r < edge[3]:
-                    found[s.column, r] = z
-                else:
-                    parts["over"].append(r)
-            if parts["under"]:
-                searches.append(_Search(s.column, parts["under"], s.low, a, s.below, under))
-            if parts["mid"]:
-                searches.append(_Search(s.column, parts["mid"], a, z, edge[1], mid))
-            if parts["over"]:
-                searches.append(_Search(s.column, parts["over"], z, s.high, edge[3], s.below + s.inside - edge[3]))
-    exprs = [
-        F.percentile(
-            F.when(_within(F.col(s.column), s), F.col(s.column)),
-            F.array(*[F.lit((r - s.below) / (s.inside - 1) if s.inside > 1 else 0.0) for r in s.ranks]),
-        )
-        for s in searches
-    ]
-    for s, values in zip(searches, _aggregate(df, exprs) if exprs else []):
-        found.update({(s.column, r): float(v) for r, v in zip(s.ranks, values)})
+@dataclass
+class _Counts:
+    """What the second scan found: ``kept`` has pos, part, v, f (v only in zones); ``parts`` the number of values by pos and part.
+
+    Part 2 i + 1 of a column is its zone i, part 2 i the gap before it.
+    """
+
+    names: list[str]
+    zones: list[list[tuple[float, float]]]
+    kept: DataFrame
+    parts: list[dict[int, int]] = field(default_factory=list)
+
+    def gap(self, pos: int, part: int) -> tuple[float, float]:
+        zones, i = self.zones[pos], part // 2
+        return (zones[i - 1][1] if i else -math.inf, zones[i][0] if i < len(zones) else math.inf)
+
+
+def _count(df: DataFrame, columns: dict[str, Column], zones: dict[str, list[tuple[float, float]]]) -> _Counts:
+    names = list(columns)
+    sorted_zones = [_merged(zones[n]) for n in names]
+    src = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    args: list[Column] = []
+    for i, own in enumerate(sorted_zones):
+        v, part = F.col(f"v{i}"), F.when(F.col(f"v{i}").isNull(), F.lit(None).cast("int"))
+        for j, (lo, hi) in enumerate(own):
+            part = part.when(v < F.lit(lo), 2 * j).when(v <= F.lit(hi), 2 * j + 1)
+        args += [F.lit(i), part.otherwise(2 * len(own)), v]
+    long = src.select(F.stack(F.lit(len(names)), *args).alias("pos", "part", "v")).where(F.col("part").isNotNull())
+    value = F.when(F.col("part") % 2 == 1, F.col("v"))
+    kept = materialise(long.groupBy("pos", "part", value.alias("v")).agg(F.count(F.lit(1)).alias("f")), "zones")
+    found = _Counts(names, sorted_zones, kept, [{} for _ in names])
+    for row in kept.groupBy("pos", "part").agg(F.sum("f").alias("f")).collect():
+        found.parts[row["pos"]][row["part"]] = row["f"]
     return found
 
 
-def _read_off(df: DataFrame, names: list[str], ranks: list[list[int]]) -> list[dict[int, float]]:
-    """Order statistics of limited columns from sorted value counts, all columns in one job."""
-    long = df.select(
-        F.stack(F.lit(len(names)), *[x for i, n in enumerate(names) for x in (F.lit(i), F.col(n))]).alias("pos", "v")
-    )
-    counts = long.where(F.col("v").isNotNull()).groupBy("pos", "v").agg(F.count(F.lit(1)).alias("f"))
-    upto = F.sum("f").over(Window.partitionBy("pos").orderBy("v"))
-    wanted = F.array(*[F.array(*[F.lit(r).cast("bigint") for r in rs]) for rs in ranks])
-    hits = counts.withColumn("c", upto).where(
-        F.exists(wanted[F.col("pos")], lambda r: (r >= F.col("c") - F.col("f")) & (r < F.col("c")))
-    )
-    out: list[dict[int, float]] = [{} for _ in names]
-    for row in hits.collect():
-        for r in ranks[row["pos"]]:
-            if row["c"] - row["f"] <= r < row["c"]:
-                out[row["pos"]][r] = float(row["v"])
-    return out
+def _order_statistics(counts: _Counts, ranks: dict[str, list[int]]) -> tuple[dict[tuple[str, int], float], dict[str, list[tuple[float, float]]]]:
+    """Values of 0-based ranks, and the gaps in which the others lie."""
+    wanted, missed = [], {}
+    for name, own in ranks.items():
+        pos = counts.names.index(name)
+        for r in own:
+            before = 0
+            for part in sorted(counts.parts[pos]):
+                if r < before + counts.parts[pos][part]:
+                    break
+                before += counts.parts[pos][part]
+            if part % 2:
+                wanted.append((pos, part, r - before, r))
+            else:
+                missed.setdefault(name, []).append(counts.gap(pos, part))
+    found: dict[tuple[str, int], float] = {}
+    if wanted:
+        asked = counts.kept.sparkSession.createDataFrame(wanted, "pos int, part int, place long, r long")
+        upto = F.sum("f").over(Window.partitionBy("pos", "part").orderBy("v"))  # the values of one zone
+        hits = counts.kept.join(F.broadcast(asked.select("pos", "part").distinct()), ["pos", "part"], "left_semi").withColumn("upto", upto)
+        hits = hits.join(F.broadcast(asked), ["pos", "part"]).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("f")))
+        found = {(counts.names[h["pos"]], h["r"]): float(h["v"]) for h in hits.select("pos", "r", "v").collect()}
+    return found, missed
+
+
+def _ends(n: int, p: float) -> list[int]:
+    h = (n - 1) * p
+    return sorted({math.floor(h), math.ceil(h)})
 
 
 def _interpolate(found: dict[int, float], n: int, p: float) -> float:
@@ -145,44 +159,173 @@ def _interpolate(found: dict[int, float], n: int, p: float) -> float:
     return lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
 
 
+def _quantile_zones(s: Sketch, probs: list[float]) -> list[tuple[float, float]]:
+    return [s.quantile(p) for p in probs]
+
+
+def _resolved(
+    df: DataFrame, columns: dict[str, Column], seen: dict[str, Sketch], zones: dict[str, list[tuple[float, float]]], probs: list[float]
+) -> tuple[_Counts, dict[str, dict[int, float]]]:
+    """The counts of the second scan and all order statistics; columns with missed ranks are counted again with the missed gaps as zones."""
+    ranks = {n: sorted({r for p in probs for r in _ends(seen[n].n, p)}) for n in columns}
+    counts = _count(df, columns, zones)
+    found, missed = _order_statistics(counts, ranks)
+    while missed:
+        zones = {n: [*zones[n], *missed[n]] for n in missed}
+        again = _count(df, {n: columns[n] for n in missed}, zones)
+        more, missed = _order_statistics(again, {n: ranks[n] for n in missed})
+        found |= more
+    return counts, {n: {r: found[n, r] for r in ranks[n]} for n in columns}
+
+
 def exact_quantiles(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probs: list[float],
-    counts: dict[str, int] | None = None,
-    small: int = SMALL,
-    pilot: int = PILOT,
+    df: DataFrame, columns: dict[str, Column], probs: list[float], known: dict[str, Sketch | None] | None = None
 ) -> dict[str, list[float | None]]:
-    """Per name, the quantiles of its expression over non-null values.
-
-    ``counts`` (non-null values per name) saves a pass when the caller knows them.
-    """
+    """Per name, the quantiles of its expression over non-null values. ``known`` sketches save the first scan."""
     if not columns:
         return {}
-    names = list(columns)
-    alias = {n: f"v{i}" for i, n in enumerate(names)}
-    src = df.select(*[columns[n].cast("double").alias(alias[n]) for n in names])
-    if counts is None:
-        counts = dict(zip(names, _aggregate(src, [F.count(F.col(alias[n])) for n in names])))
-    ranks = {
-        n: sorted({f((counts[n] - 1) * p) for p in probs for f in (math.floor, math.ceil)}) for n in names if counts[n]
-    }
-    few = [n for n in ranks if counts[n] <= small]
-    many = [n for n in ranks if counts[n] > small]
-    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    if few:
-        for n, found in zip(few, _read_off(src, [alias[n] for n in few], [ranks[n] for n in few])):
-            out[n] = [_interpolate(found, counts[n], p) for p in probs]
-    if many:
-        searches = []
-        for n in many:
-            for p in probs:
-                h = (counts[n] - 1) * p
-                searches.append(_Search(alias[n], sorted({math.floor(h), math.ceil(h)}), None, None, 0, counts[n]))
-        found = _narrow(src, searches, small, pilot)
-        for n in many:
-            out[n] = [_interpolate({r: found[alias[n], r] for r in ranks[n]}, counts[n], p) for p in probs]
-    return {n: out[n] for n in names}
+    seen = sketches(df, columns) if known is None else known
+    live = {n: c for n, c in columns.items() if seen[n] is not None}
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in columns}
+    if live:
+        _, found = _resolved(df, live, seen, {n: _quantile_zones(seen[n], probs) for n in live}, probs)
+        out |= {n: [_interpolate(found[n], seen[n].n, p) for p in probs] for n in live}
+    return out
+
+
+@dataclass
+class Spread:
+    """Quantiles, median absolute deviation from the median, and values that are extreme by either rule."""
+
+    quantiles: list[float | None]
+    deviation: float | None = None
+    extreme: int = 0
+
+
+_QUARTERS = (0.25, 0.5, 0.75)
+_FENCE = 3.5 / 0.6745  # deviations from the median beyond which a value is extreme
+
+
+def _wider(lo: float, hi: float) -> tuple[float, float]:
+    """A hair of slack on both sides for rounding."""
+    return lo - 1e-9 * abs(lo) if math.isfinite(lo) else lo, hi + 1e-9 * abs(hi) if math.isfinite(hi) else hi
+
+
+def _around(low: float, high: float, near: float, far: float) -> list[tuple[float, float]]:
+    """Where values lie whose distance from a median between ``low`` and ``high`` is from ``near`` to ``far``."""
+    return [_wider(low - far, high - near), _wider(low + near, high + far)]
+
+
+def _fences(q1: tuple[float, float], q3: tuple[float, float]) -> list[tuple[float, float]]:
+    """Where the fences of three quartile ranges may stand."""
+    least, most = max(0.0, q3[0] - q1[1]), q3[1] - q1[0]
+    return [_wider(q1[0] - 3 * most, q1[1] - 3 * least), _wider(q3[0] + 3 * least, q3[1] + 3 * most)]
+
+
+def spreads(
+    df: DataFrame, columns: dict[str, Column], probs: list[float], known: dict[str, Sketch | None] | None = None
+) -> dict[str, Spread]:
+    """Quantiles, deviation and extremes of each column, from the same two scans.
+
+    A value is extreme if it is more than 3.5 / 0.6745 deviations from the median or, where the deviation is 0, more
+    than three quartile ranges outside the quartiles.
+    """
+    seen = sketches(df, columns) if known is None else known
+    out = {n: Spread([None] * len(probs)) for n in columns}
+    todo = {n: c for n, c in columns.items() if seen[n] is not None}
+    sure = True
+    while todo:
+        zones, bounds = {}, {}
+        for n in todo:
+            s = seen[n]
+            (low, high), q1, q3 = s.quantile(0.5), s.quantile(0.25), s.quantile(0.75)
+            near, far = s.deviation(low, high) if sure else (0.0, math.inf)
+            bounds[n] = near, far
+            zones[n] = _quantile_zones(s, [*probs, *_QUARTERS]) if sure else [_ALL]
+            if far > 0:
+                zones[n] += _around(low, high, near, far) + _around(low, high, near * _FENCE, far * _FENCE)
+            if near == 0:
+                zones[n] += _fences(q1, q3)
+        counts, found = _resolved(df, todo, seen, zones, [*probs, *_QUARTERS])
+        for n in todo:
+            out[n].quantiles = [_interpolate(found[n], seen[n].n, p) for p in probs]
+        quarters = {n: [_interpolate(found[n], seen[n].n, p) for p in _QUARTERS] for n in todo}
+        deviation = _deviations(counts, {n: (quarters[n][1], *bounds[n]) for n in todo}, seen)
+        extreme = _extremes(counts, {n: (*quarters[n], deviation[n]) for n in todo if deviation[n] is not None})
+        for n in extreme:
+            out[n].deviation, out[n].extreme = deviation[n], extreme[n]
+        # A sketch that misled: the whole column is a zone.
+        todo, sure = {n: c for n, c in todo.items() if n not in extreme}, False
+    return out
+
+
+def _deviations(counts: _Counts, about: dict[str, tuple[float, float, float]], seen: dict[str, Sketch]) -> dict[str, float | None]:
+    """The median distance from the median (name -> median, least and largest possible distance); None where it is not among the zones."""
+    rows, out = [], {}
+    for n, (median, near, far) in about.items():
+        pos = counts.names.index(n)
+        inside = sum(f for part, f in counts.parts[pos].items() if part % 2 == 0 and _within(counts.gap(pos, part), median - near, median + near))
+        if any(part % 2 == 0 and not _apart(counts.gap(pos, part), median, near, far) for part in counts.parts[pos]):
+            out[n] = None
+            continue
+        rows += [(pos, median, near, inside, r) for r in _ends(seen[n].n, 0.5)]
+    if not rows:
+        return out
+    asked = counts.kept.sparkSession.createDataFrame(rows, "pos int, median double, near double, inside long, r long")
+    one = F.broadcast(asked.select("pos", "median", "near", "inside").distinct())
+    away = F.abs(F.col("v") - F.col("median"))
+    far_enough = counts.kept.where(F.col("v").isNotNull()).join(one, "pos").withColumn("away", F.when(away >= F.col("near"), away))
+    sums = far_enough.groupBy("pos", "inside", "away").agg(F.sum("f").alias("f"))  # null: all that are nearer
+    upto = F.sum("f").over(Window.partitionBy("pos").orderBy(F.col("away").asc_nulls_first())) + F.col("inside")
+    hits = sums.withColumn("upto", upto).join(F.broadcast(asked.select("pos", "r")), "pos")
+    hits = hits.where(F.col("away").isNotNull() & (F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("f")))
+    found = {(h["pos"], h["r"]): h["away"] for h in hits.select("pos", "r", "away").collect()}
+    for n in about:
+        if n not in out:
+            pos = counts.names.index(n)
+            own = {r: found.get((pos, r)) for r in _ends(seen[n].n, 0.5)}
+            out[n] = None if None in own.values() else _interpolate(own, seen[n].n, 0.5)
+    return out
+
+
+def _within(gap: tuple[float, float], lo: float, hi: float) -> bool:
+    return lo <= gap[0] and gap[1] <= hi
+
+
+def _apart(gap: tuple[float, float], median: float, near: float, far: float) -> bool:
+    """Whether all values of a gap are nearer than ``near`` or farther than ``far``."""
+    return _within(gap, median - near, median + near) or gap[1] <= median - far or gap[0] >= median + far
+
+
+def _extremes(counts: _Counts, facts: dict[str, tuple[float, float, float, float]]) -> dict[str, int]:
+    """Extreme values of each column (name -> quartiles, deviation); a name is left out where a gap holds a fence."""
+    out, rows = {}, []
+    for n, (q1, median, q3, deviation) in facts.items():
+        pos = counts.names.index(n)
+        if deviation and math.isfinite(deviation):
+            lo, hi = median - deviation * _FENCE, median + deviation * _FENCE
+        elif math.isfinite(q3 - q1) and q3 > q1:
+            lo, hi = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
+        else:
+            out[n] = 0
+            continue
+        gaps = {part: counts.gap(pos, part) for part in counts.parts[pos] if part % 2 == 0}
+        beyond = [part for part, gap in gaps.items() if gap[1] <= lo or gap[0] >= hi]
+        if any(part not in beyond and not _within(gap, lo, hi) for part, gap in gaps.items()):
+            continue
+        out[n] = sum(counts.parts[pos][part] for part in beyond)
+        rows.append((pos, q1, median, q3, float(deviation)))
+    if rows:
+        about = counts.kept.sparkSession.createDataFrame(rows, "pos int, q1 double, median double, q3 double, deviation double")
+        v, width = F.col("v"), F.col("q3") - F.col("q1")
+        usable = (F.col("deviation") > 0) & (F.col("deviation") < F.lit(math.inf))
+        extreme = F.when(usable, F.abs(F.lit(0.6745) * (v - F.col("median")) / F.col("deviation")) > 3.5).otherwise(
+            (v < F.col("q1") - 3 * width) | (v > F.col("q3") + 3 * width)
+        )
+        hit = counts.kept.where(v.isNotNull()).join(F.broadcast(about), "pos").where(extreme).groupBy("pos").agg(F.sum("f").alias("f"))
+        for row in hit.collect():
+            out[counts.names[row["pos"]]] += row["f"]
+    return out
 
 
 def approx_quantiles(
@@ -193,5 +336,10 @@ def approx_quantiles(
         return {}
     src = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())])
     wanted = F.array(*[F.lit(p) for p in probs])
-    rows = _aggregate(src, [F.percentile_approx(f"v{i}", wanted, accuracy) for i in range(len(columns))])
-    return {n: list(r) if r is not None else [None] * len(probs) for n, r in zip(columns, rows)}
+    out: dict[str, list[float | None]] = {}
+    names = list(columns)
+    for start in range(0, len(names), _CHUNK):
+        chunk = names[start : start + _CHUNK]
+        row = src.agg(*[F.percentile_approx(f"v{start + i}", wanted, accuracy).alias(f"q{i}") for i in range(len(chunk))]).first()
+        out |= {n: list(r) if r is not None else [None] * len(probs) for n, r in zip(chunk, row)}
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import words
 from ..functions.scalars import coerce_numeric, parse_mixed_date, q, strip
 from ..session import is_text, materialise, on_entry
+from .counts import row_digest
 from .roles import column_facts, decide_role
 
 LOG_SCHEMA = (
@@ -90,6 +91,31 @@ def cast_to_roles(df: DataFrame, keep_apart: list[str] | None = None) -> tuple[D
     return df.select(*out), casts
 
 
+#: Digests that occur more than once (16 bytes each), up to which they are broadcast.
+FEW_DIGESTS = 2_000_000
+
+
+def without_copies(df: DataFrame, keep_apart: list[str] | None = None) -> DataFrame:
+    """One row of each set of equal rows; of ``keep_apart`` columns, which do not take part in the test, the least values stay.
+
+    Only the 128-bit digests of rows are shuffled. Rows whose digest occurs once stay where they are; the others meet and are
+    compared cell by cell.
+    """
+    keep_apart = keep_apart or []
+    names = [c for c in df.columns if c not in keep_apart]
+    marked = df.withColumn("__digest", F.unhex(row_digest(df.select(*[q(c) for c in names]))))
+    seen = marked.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__digest")
+    seen = materialise(seen, "copied")
+    seen = F.broadcast(seen) if seen.count() <= FEW_DIGESTS else seen
+    once = marked.join(seen, "__digest", "left_anti").drop("__digest")
+    more = marked.join(seen, "__digest", "left_semi").drop("__digest")
+    if not keep_apart:
+        return once.unionByName(more.dropDuplicates())
+    first = more.groupBy(*[q(c) for c in names]).agg(F.min(F.struct(*[q(c) for c in keep_apart])).alias("__first"))
+    kept = first.select(*[F.col("__first").getField(c).alias(c) for c in keep_apart], *[q(c) for c in names])
+    return once.unionByName(kept.select(*[q(c) for c in df.columns]))
+
+
 def structural_repair(
     df: DataFrame,
     *,
@@ -123,7 +149,6 @@ def repair_with_log(
 ) -> tuple[DataFrame, list[tuple]]:
     keep_apart = keep_apart or []
     df = on_entry(df)
-    extra = [q(c) for c in keep_apart]
     data = df.drop(*keep_apart)
     n, trimmed, nulled, per = _text_counts(data)
     out = trim_and_null(df)
@@ -146,14 +171,7 @@ def repair_with_log(
             log.append(("drop_constant_columns", f"dropped {', '.join(constant)}", n, n, width, width - len(constant)))
             width -= len(constant)
     if drop_duplicate_rows and width:
-        names = [c for c in out.columns if c not in keep_apart]
-        if keep_apart:
-            # Keep-first on the bookkeeping columns; grouping combines copies map-side.
-            kept = out.groupBy(*[q(c) for c in names]).agg(F.min(F.struct(*extra)).alias("_first"))
-            kept = kept.select(*[F.col("_first").getField(c).alias(c) for c in keep_apart], *[q(c) for c in names])
-            kept = kept.select(*[q(c) for c in out.columns])
-        else:
-            kept = out.dropDuplicates()
+        kept = without_copies(out, keep_apart)
         # Later passes (roles, parse rates, fills) would each repeat this shuffle.
         out = materialise(kept, "repaired")
         left = out.count()

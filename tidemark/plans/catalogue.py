@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,14 +18,16 @@ from ..operators.repair import structural_repair, trim_and_null
 from ..operators.roles import infer_roles
 from ..operators.smote import oversample
 from ..operators.standardise import standardise
-from ..sources.csv import blank_to_null, preview, repair_lines, type_columns
-from ..sources.history import empty_history, update_history
+from ..sources.csv import blank_to_null, preview, read_csv_multiline, repair_lines, type_columns
+from ..sources.history import commit_scores, empty_history, load_history, update_history
+from ..sources.sinks import write_csv, write_json, write_parquet
+from ..session import scratch_dir
 from .cleaning_plan import apply_plan, build_plan, export, fit_plan
 from .evaluate import (
     add_noise, combine_scores, composite, retention, score_recipes, scoreboard, simplicity, stratified_folds,
     stratified_sample, FoldShare,
 )
-from .inputs import CSV_LINES, CURRENCY_TEXT, planted, table
+from .inputs import CSV_FILE_HEADS, CSV_FILE_LINES, CSV_LINES, CURRENCY_TEXT, planted, table
 from .process import choose_route
 from .ranking import rank_recipes, recommend, select_recipe
 from .recipes import (
@@ -499,6 +502,55 @@ def ragged_csv_rejects(spark, d):
     return _csv_lines(spark, d).where(F.col("_fields").isNull()).select("o_orderkey", F.col("_width").alias("fields_found"))
 
 
+def _new_folder(spark, label):
+    return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _csv_folder(spark, d):
+    """The orders as three CSV files: notes with line breaks and quotes, dates split by a comma, lines beyond repair, one file with another order of columns."""
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    lines = spark.sql(CSV_FILE_LINES)
+    heads = spark.createDataFrame([(pid, -1, CSV_FILE_HEADS[pid]) for pid in range(3)], "pid long, o_orderkey long, line string")
+    path = _new_folder(spark, "csv-files")
+    rows = lines.select("pid", "o_orderkey", "line").unionByName(heads).repartition("pid").sortWithinPartitions("pid", "o_orderkey")
+    rows.select("pid", "line").write.partitionBy("pid").text(path)
+    return path
+
+
+def csv_files(spark, d):
+    return read_csv_multiline(spark, _csv_folder(spark, d)).table.select("order_id", "note", "order_date", "priority")
+
+
+def csv_file_rejects(spark, d):
+    return read_csv_multiline(spark, _csv_folder(spark, d)).rejects.select("line", "fields_found", "fields_expected")
+
+
+def sink_round_trip(spark, d):
+    """The customers as they come back from each sink."""
+    kept = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit('\n"said"')).alias("c_name"), "c_acctbal")
+    path, schema = _new_folder(spark, "sinks"), kept.schema
+    write_csv(kept, f"{path}/csv")
+    write_json(kept, f"{path}/json")
+    write_parquet(kept, f"{path}/parquet")
+    back = {
+        "csv": read_csv_multiline(spark, f"{path}/csv").table.drop("_row_id"),
+        "json": spark.read.schema(schema).json(f"{path}/json"), "parquet": spark.read.parquet(f"{path}/parquet"),
+    }
+    out = None
+    for name, df in back.items():
+        part = df.select(F.lit(name).alias("sink"), "c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def history_store(spark, d):
+    """The rewards of each signature committed one after the other, as the store has them in the end."""
+    path, rewards = _new_folder(spark, "history"), _rewards(spark, d)
+    for signature in ("sig:0", "sig:1"):
+        commit_scores(rewards.where(F.col("signature") == signature), path)
+    return rounded(load_history(spark, path), 8)
+
+
 def typed_columns(spark, d):
     c = planted(spark, d, "dirty_orders").select("paid", "zip", F.col("o_orderkey").cast("string").alias("code"),
                                                  F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".5")).alias("amount"))
@@ -630,6 +682,10 @@ QUERIES: dict[str, Query] = {
     "history_select": history_select,
     "ragged_csv": ragged_csv,
     "ragged_csv_rejects": ragged_csv_rejects,
+    "csv_files": csv_files,
+    "csv_file_rejects": csv_file_rejects,
+    "sink_round_trip": sink_round_trip,
+    "history_store": history_store,
     "typed_columns": typed_columns,
     "preview_rows": preview_rows,
     "validation_checks": validation_checks,

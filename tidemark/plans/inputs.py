@@ -104,6 +104,16 @@ CSV_LINES = '''SELECT o_orderkey,
        ELSE concat(CAST(o_orderkey AS string), ',2024-01-02,', o_orderstatus, ',', o_orderpriority, ',', CAST(o_custkey AS string), ',, ')
   END AS line FROM orders'''
 
+# Records of CSV files: a quoted line break and quotes in each note, split dates, blank cells, lines beyond repair.
+CSV_FILE_HEADS = ["order_id,note,order_date,priority"] * 2 + ["note,order_date,priority,order_id"]
+CSV_FILE_LINES = '''SELECT o_orderkey, o_orderkey % 3 AS pid,
+  CASE WHEN o_orderkey % 3 = 2 THEN concat(note, ',', day, ',', prio, ',', key, extra) ELSE concat(key, ',', note, ',', day, ',', prio, extra) END AS line
+FROM (SELECT o_orderkey, CAST(o_orderkey AS string) AS key,
+  concat('"', o_orderstatus, chr(10), '""', CAST(o_custkey AS string), '"", so"') AS note,
+  CASE WHEN o_orderkey % 41 = 0 THEN 'Mar-7,2024' ELSE '2024-01-02' END AS day,
+  CASE WHEN o_orderkey % 43 = 0 AND o_orderkey % 41 <> 0 THEN ' ' ELSE o_orderpriority END AS prio,
+  CASE WHEN o_orderkey % 47 = 0 THEN ',x,y,z' ELSE '' END AS extra FROM orders)'''
+
 TEXTS = {
     "dirty_orders": (DIRTY_ORDERS, ["orders"]),
     "contacts": (CONTACTS, ["customer"]),

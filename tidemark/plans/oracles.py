@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import CSV_LINES, CURRENCY_TEXT, planted_sql
+from .inputs import CSV_FILE_LINES, CSV_LINES, CURRENCY_TEXT, planted_sql
 from ..functions.words import IDENTIFIER_TOKENS
 from .recipes import RECIPES
 
@@ -461,6 +461,14 @@ SELECT c_custkey, label FROM r JOIN f USING (label) WHERE n <= 300 OR r <= floor
 FROM (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 40 WHEN o_orderkey % 41 = 0 THEN 41 WHEN o_orderkey % 43 = 0 THEN 43
   WHEN o_orderkey % 47 = 0 THEN 47 WHEN o_orderkey % 53 = 0 THEN 53 ELSE 0 END AS kind FROM orders) WHERE kind <> 47""",
     "ragged_csv_rejects": f"""WITH t AS ({CSV_LINES}) SELECT o_orderkey, CAST(len(string_split(line, ',')) AS INT) AS fields_found FROM t WHERE line LIKE '%,a,b,c,d,e'""",
+    "csv_files": """SELECT o_orderkey AS order_id, concat(o_orderstatus, chr(10), '"', o_custkey, '", so') AS note,
+  CASE WHEN o_orderkey % 41 = 0 THEN 'Mar-7-2024' ELSE '2024-01-02' END AS order_date,
+  CASE WHEN o_orderkey % 43 <> 0 OR o_orderkey % 41 = 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 47 <> 0""",
+    "csv_file_rejects": f"""SELECT line, CAST(CASE WHEN o_orderkey % 41 = 0 THEN 8 ELSE 7 END AS INT) AS fields_found, CAST(4 AS INT) AS fields_expected
+FROM ({CSV_FILE_LINES}) WHERE o_orderkey % 47 = 0""",
+    "sink_round_trip": """SELECT sink, c_custkey, concat(c_name, chr(10), '"said"') AS c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal
+FROM customer, (VALUES ('csv'), ('json'), ('parquet')) AS s(sink)""",
+    "history_store": f"""WITH {_REWARDS} SELECT signature, recipe, count(*) AS n, round(avg(reward), 8) AS mean FROM rewards GROUP BY signature, recipe""",
     "typed_columns": f"""{with_('dirty', 'dirty_orders')} SELECT CASE WHEN bool_and(regexp_matches(paid, '^[0-9]+$')) THEN 'bigint' ELSE 'string' END AS paid_type,
   CASE WHEN bool_or(regexp_matches(zip, '^0[0-9]+$')) THEN 'string' ELSE 'bigint' END AS zip_type, 'bigint' AS code_type, 'double' AS amount_type,
   CAST(sum(o_orderkey) AS BIGINT) AS code_sum, sum(o_custkey + 0.5::DOUBLE) AS amount_sum FROM dirty""",

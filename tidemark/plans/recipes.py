@@ -103,8 +103,7 @@ def fit_impute(train: DataFrame, features: list[str], kind: str) -> tuple[Step,
         model = fit_chained(train, kept)
         return lambda df: model.apply(df.drop(*gone)), kept
     if kind == "median":
-        counts = dict(zip(features, present))
-        fills = {f: v[0] for f, v in exact_quantiles(train, {f: q(f) for f in kept}, [0.5], counts).items()}
+        fills = {f: v[0] for f, v in exact_quantiles(train, {f: q(f) for f in kept}, [0.5]).items()}
     elif kind == "mean":
         fills = dict(zip(kept, train.agg(*[F.avg(q(f)) for f in kept]).first()))
     elif kind == "most_frequent":
@@ -292,13 +291,15 @@ def enhance(
     """Apply one recipe to all rows: features, target and row origin, plus a metrics row.
 
     ``ids`` name rows for reproducible oversampling; they are not features and are
-    left out of the result.
+    left out of the result. A table that fails a check of ``validate_classification`` (missing labels, a class of one row, ...)
+    is refused with that check's message.
     """
     if recipe not in RECIPES:
         raise ValueError(f"unknown recipe: {recipe}")
     guard_reserved(df.columns)
-    from .validation import numeric_features
+    from .validation import numeric_features, require_classification
 
+    require_classification(df, target, 2, ids)
     r = RECIPES[recipe]
     features = numeric_features(df, target, ids)
     base = df.select(*[q(c) for c in dict.fromkeys([*(ids or []), *features, target])])

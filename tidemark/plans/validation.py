@@ -67,6 +67,13 @@ def validate_classification(
     return df.sparkSession.createDataFrame(rows, CHECK_SCHEMA)
 
 
+def require_classification(df: DataFrame, target: str | None, min_class_rows: int, ids: list[str] | None = None) -> None:
+    """Raise the message of the first check that fails."""
+    failed = validate_classification(df, target, min_class_rows, ids).where("not passed").orderBy("position").first()
+    if failed is not None:
+        raise ValueError(failed["message"])
+
+
 def class_values(df: DataFrame, target: str) -> list:
     """Sorted classes; refuses missing labels and a target whose classes would not fit a lookup."""
     found = df.select(q(target).alias("t")).distinct().limit(MAX_CLASSES + 1).collect()

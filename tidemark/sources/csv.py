@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import words
 from ..functions.scalars import let, parse_mixed_date, q, strict_number, strip
@@ -16,6 +19,18 @@ STATS_SCHEMA = "rows_read bigint, repaired_rows bigint, rejected_rows bigint, st
 _FIELD = r'("[^"]*+(?:""[^"]*+)*+"|[^,"][^,]*+|),'
 
 
+# The same for one line of a record: fields up to their commas, and a quoted field that ends.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_WHOLE_FIELDS = re.compile(rf'(?:(?:{_QUOTED}(?:[^",][^,]*+)?+|[^",][^,]*+|),)*+')
+_QUOTED_FIELD = re.compile(_QUOTED)
+_INSIDE = re.compile(r'[^"]*+(?:""[^"]*+)*+')
+
+#: Splits that begin inside quotes, up to which they are broadcast.
+FEW_SPLITS = 1_000_000
+#: A record longer than this (characters) means a quote that is never closed.
+LONGEST_RECORD = 1 << 28
+
+
 class CsvError(ValueError):
     """The file cannot be read as CSV."""
 
@@ -150,16 +165,12 @@ def type_columns(df: DataFrame, columns: list[str], keep_padded: bool = True) ->
     return df.select(*out)
 
 
-def _headers(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(_file, _order) of every file with the places of the first file's names in it, and those names.
+def _headers(spark: SparkSession, first: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(_file, _header) of every file with its names in its order, and the names of the first file.
 
-    The first line of each file is its header. Files may order their columns differently; other names are refused.
+    ``first`` has each file's first record (_file, line), its header. Files may order their columns differently; other names
+    are refused.
     """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row_id"),
-    )
-    first = lines.where(F.col("_start") == 0).groupBy("_file").agg(F.min_by("line", "_row_id").alias("line"))
     different = first.groupBy(F.regexp_replace("line", "^\ufeff", "").alias("line")).agg(F.min("_file").alias("_file")).orderBy("_file").collect()
     if not different:
         raise CsvError("CSV must contain a header and data rows")
@@ -216,6 +227,26 @@ def _repaired(rows: DataFrame, files: DataFrame) -> DataFrame:
     return out
 
 
+def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """line, _file, _start (where the split begins in its file) and _row_id, lines of a split in order."""
+    return spark.read.text(path, **options).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row_id"),
+    )
+
+
+def _read(spark: SparkSession, records: DataFrame, keep_padded: bool, fail_on_reject: bool) -> CsvRead:
+    """The result for records (line, _file, _start, _row_id) of files whose first record is their header."""
+    heads = records.where(F.col("_start") == 0).groupBy("_file").agg(F.min("_row_id").alias("_head"), F.min_by("line", "_row_id").alias("line"))
+    heads = materialise(heads, "csv-heads")
+    files, header = _headers(spark, heads.select("_file", "line"))
+    body = records.join(files.join(heads.select("_file", "_head"), "_file"), "_file").where(F.col("_row_id") != F.col("_head"))
+    fixed = _repaired(body.select("_file", "_row_id", "line", "_header"), files)
+    return _result(fixed, header, keep_padded, fail_on_reject)
+
+
 def read_csv_repaired(
     spark: SparkSession, path: str, keep_padded: bool = True, fail_on_reject: bool = False
 ) -> CsvRead:
@@ -225,48 +256,167 @@ def read_csv_repaired(
     exactly. Columns go by the names in each file's first line. Here a line is a record: both halves of one with a quoted line break
     are reported as rejects, and ``read_csv_multiline`` reads such files.
     """
-    files, header = _headers(spark, path)
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row_id"),
+    lines = _lines(spark, path)
+    return _read(spark, lines, keep_padded, fail_on_reject)
+
+
+def ends_inside(line: str, inside: bool) -> bool:
+    """Whether a quoted field is still open at the end of a line that begins inside one, or at the start of a record.
+
+    A quote opens a field only where the field begins; a doubled one inside is a quote; what follows the closing one up to the
+    comma belongs to the field.
+    """
+    at = 0
+    if inside:
+        at = _INSIDE.match(line).end()
+        if at == len(line):
+            return True
+        at = line.find(",", at + 1) + 1
+        if not at:
+            return False
+    at = _WHOLE_FIELDS.match(line, at).end()
+    return line.startswith('"', at) and _QUOTED_FIELD.match(line, at) is None
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Pieces of batches that lie in one split each, and whether a split begins there."""
+    last = None
+    for batch in batches:
+        keys = list(zip(batch.column("_file").to_pylist(), batch.column("_start").to_pylist()))
+        lo = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[lo]:
+                yield keys[lo] != last, batch.slice(lo, i - lo)
+                last, lo = keys[lo], i
+
+
+def _first_text(line: str, start: int) -> str:
+    return line.removeprefix("\ufeff") if start == 0 else line
+
+
+def _split_ends(lines: DataFrame) -> DataFrame:
+    """_file, _start, from_record, from_inside: for each split, whether it ends inside quotes if it begins at a record's start, or inside quotes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, (False, True)
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*now, *state)], names=["_file", "_start", "from_record", "from_inside"])
+
+        for begins, piece in _by_split(batches):
+            if begins:
+                if now is not None:
+                    yield row()
+                now, state = (piece.column("_file")[0].as_py(), piece.column("_start")[0].as_py()), (False, True)
+            for i, line in enumerate(piece.column("line").to_pylist()):
+                if '"' in line:
+                    line = _first_text(line, now[1]) if begins and i == 0 else line
+                    ends = {inside: ends_inside(line, inside) for inside in {*state}}
+                    state = ends[state[0]], ends[state[1]]
+        if now is not None:
+            yield row()
+
+    return lines.select("_file", "_start", "line").mapInArrow(run, "_file string, _start long, from_record boolean, from_inside boolean")
+
+
+def _open_splits(ends: DataFrame) -> DataFrame:
+    """_file, _start of the splits that begin inside quotes: the ends of all earlier splits of the file, one applied after the other.
+
+    A split either ends alike whatever came before, or keeps the state, or turns it over. So a split's state is that after the last
+    split of the first sort, turned as often as splits of the last sort follow. The window holds one row a split.
+    """
+    fixed = F.col("from_record") == F.col("from_inside")
+    turns = F.col("from_record") & ~F.col("from_inside")
+    so_far = Window.partitionBy("_file").orderBy("_start")
+    counted = ends.withColumn("_turns", F.sum(turns.cast("long")).over(so_far))
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.last(F.when(fixed, F.struct("from_record", "_turns")), ignorenulls=True).over(before)
+    seen = counted.withColumn("_known", known).withColumn("_before", F.coalesce(F.lag("_turns").over(so_far), F.lit(0)))
+    turned = (F.col("_before") - F.coalesce(F.col("_known._turns"), F.lit(0))) % 2 == 1
+    inside = F.coalesce(F.col("_known.from_record"), F.lit(False)) != turned
+    return seen.where(inside).select("_file", "_start", F.lit(True).alias("_inside"))
+
+
+_PIECES = "_file string, _start long, _row_id long, line string, begins boolean, ends boolean"
+
+
+def _pieces(lines: DataFrame, open_splits: DataFrame) -> DataFrame:
+    """Records, and the pieces of those that reach over the end of a split (``begins`` or ``ends`` is false), in the order of lines."""
+    few = open_splits.count() <= FEW_SPLITS
+    told = lines.join(F.broadcast(open_splits) if few else open_splits, ["_file", "_start"], "left")
+    if not few:  # the join has dealt the lines anew
+        told = told.sortWithinPartitions("_file", "_start", "_row_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PIECES.split(", ")]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+        held: list[str] = []  # lines of the record that is open
+        head, begun, inside = None, True, False
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for begins, piece in _by_split(batches):
+            rows: list[tuple] = []
+            if begins:
+                if held:
+                    rows.append((*head, "\n".join(held), begun, False))
+                held, inside = [], bool(piece.column("_inside")[0].as_py())
+                begun = not inside
+            file, start = piece.column("_file")[0].as_py(), piece.column("_start")[0].as_py()
+            for i, (line, row_id) in enumerate(zip(piece.column("line").to_pylist(), piece.column("_row_id").to_pylist())):
+                line = _first_text(line, start) if begins and i == 0 else line
+                if not held:
+                    head = (file, start, row_id)
+                held.append(line)
+                if '"' in line:
+                    inside = ends_inside(line, inside)
+                if not inside:
+                    rows.append((*head, "\n".join(held).removesuffix("\r"), begun, True))
+                    held, begun = [], True
+            if rows:
+                yield table(rows)
+        if held:
+            yield table([(*head, "\n".join(held), begun, False)])
+
+    return told.select("_file", "_start", "_row_id", "line", "_inside").mapInArrow(run, _PIECES)
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """line, _file, _start, _row_id: the records of CSV files whose quoted fields may hold line breaks, read in parallel.
+
+    A first pass tells for each split of a file whether it ends inside quotes, for both states in which it may begin; these
+    maps, composed over the splits of a file, give the state in which each begins. A second pass cuts each split into
+    records, and only the pieces at the edges of splits are brought together. Both passes are tasks over splits without a shuffle of lines;
+    a task holds one record. Compressed files are one split each.
+    """
+    lines = _lines(spark, path, lineSep="\n")
+    ends = materialise(_split_ends(lines), "csv-splits")
+    pieces = materialise(_pieces(lines, _open_splits(ends)), "csv-pieces")
+    whole = pieces.where(F.col("begins") & F.col("ends")).select("line", "_file", "_start", "_row_id")
+    in_file = Window.partitionBy("_file").orderBy("_start", "_row_id")  # at most two rows a split
+    edges = pieces.where(~(F.col("begins") & F.col("ends"))).withColumn("_record", F.sum(F.col("begins").cast("long")).over(in_file))
+    sizes = edges.groupBy("_file", "_record").agg(F.sum(F.length("line")).alias("n")).where(F.col("n") > LONGEST_RECORD).limit(1).collect()
+    if sizes:
+        raise CsvError(f"a quote is never closed: {sizes[0]['_file']} has a record of {sizes[0]['n']} characters")
+    parts = F.array_sort(F.collect_list(F.struct("_start", "_row_id", "line")))
+    joined = edges.groupBy("_file", "_record").agg(parts.alias("_parts")).select(
+        F.regexp_replace(F.array_join("_parts.line", "\n"), r"\r\z", "").alias("line"), "_file",
+        F.col("_parts")[0]["_start"].alias("_start"), F.col("_parts")[0]["_row_id"].alias("_row_id"),
     )
-    heads = lines.where(F.col("_start") == 0).groupBy("_file").agg(F.min("_row_id").alias("_head"))
-    body = lines.join(files.join(heads, "_file"), "_file").where(F.col("_row_id") != F.col("_head"))
-    fixed = _repaired(body.select("_file", "_row_id", "line", "_header"), files)
-    return _result(fixed, header, keep_padded, fail_on_reject)
+    return materialise(whole.unionByName(joined), "csv-records")
 
 
 def read_csv_multiline(
     spark: SparkSession, path: str, keep_padded: bool = True, fail_on_reject: bool = False
 ) -> CsvRead:
-    """As ``read_csv_repaired``, for files with line breaks inside quotes.
+    """As ``read_csv_repaired``, for files with line breaks inside quotes; one file is read by many tasks.
 
-    Spark's own reader finds the records (a single file is read by one task: split large inputs into many files). Records that do
-    not fit the header come back whole and go through the same repairs; those beyond repair are rejects. Blank lines are
-    skipped, as that reader does.
+    All records go through the same repairs; those beyond repair are rejects (a quote that is never closed makes one of all that follows, up
+    to ``LONGEST_RECORD`` characters). Blank lines between records are skipped. Lines end in a line feed, with or without a carriage return before it.
     """
-    files, header = _headers(spark, path)
-    width = len(header)
-    schema = ", ".join([f"c{i} string" for i in range(width)] + ["_record string"])
-    read = spark.read.csv(
-        path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=True,
-        columnNameOfCorruptRecord="_record", emptyValue="", nullValue="\u0000",
-    ).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row_id"))
-    # Parsed once and kept: with fewer columns asked for, that reader would see fewer broken records.
-    read = materialise(read, "csv-records")
-    heads = read.groupBy("_file").agg(F.min("_row_id").alias("_head"))
-    body = read.join(files.join(heads, "_file"), "_file").where(F.col("_row_id") != F.col("_head"))
-    cells = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(width)])
-    good = body.where(F.col("_record").isNull()).select(
-        "_file", "_row_id", F.col("_record").alias("line"), "_header", cells.alias("_fields"), F.lit(width).alias("_width"),
-        F.lit(False).alias("_repaired"),
-    )
-    broken = body.where(F.col("_record").isNotNull()).select(
-        "_file", "_row_id", F.regexp_replace("_record", r"[\r\n]+$", "").alias("line"), "_header"
-    )
-    return _result(good.unionByName(_repaired(broken, files)), header, keep_padded, fail_on_reject)
+    records = quoted_records(spark, path)
+    return _read(spark, records.where(F.col("line") != ""), keep_padded, fail_on_reject)
 
 
 def preview(df: DataFrame, rows: int = 6, order: str = "_row_id") -> tuple[DataFrame, bool]:
