@@ -378,8 +378,9 @@ def test_copies_are_found_by_digest(spark, monkeypatch):
     df = spark.createDataFrame(rows, "a int, b string, c double, id long").repartition(4)
     for few in (10**6, -1):
         monkeypatch.setattr(repair, "FEW_DIGESTS", few)
-        assert sorted(map(repr, repair.without_copies(df.drop("id")).collect())) == sorted(map(repr, df.drop("id").dropDuplicates().collect()))
+        plain = lambda d: d.withColumn("c", F.col("c") + 0.0)  # noqa: E731 - grouping turns -0.0 into 0.0
+        assert sorted(map(repr, plain(repair.without_copies(df.drop("id"))).collect())) == sorted(map(repr, plain(df.drop("id").dropDuplicates()).collect()))
         kept = repair.without_copies(df, ["id"])
         assert kept.columns == df.columns
         first = df.groupBy("a", "b", "c").agg(F.min("id").alias("id")).select("a", "b", "c", "id")
-        assert sorted(map(repr, kept.collect())) == sorted(map(repr, first.collect()))
+        assert sorted(map(repr, plain(kept).collect())) == sorted(map(repr, plain(first).collect()))
