@@ -99,13 +99,13 @@ rep{tag} AS (SELECT r.pos, column_name, role, n, n - present AS n_missing, round
 _REPORT = f"""SELECT column_name, role, n, n_missing, round(pct_missing, 4) AS pct_missing, n_unique,
   round(pct_unique, 4) AS pct_unique, {zero_safe('mean', 4)} AS mean, round(median, 4) AS median, round(std, 4) AS std,
   round(p01, 4) AS p01, round(p99, 4) AS p99, {zero_safe('skew', 4)} AS skew, n_extreme, round(pct_extreme, 4) AS pct_extreme, n_uncastable,
-  concat_ws('; ', CASE WHEN role = 'empty' THEN 'entirely null' END,
-    CASE WHEN role = 'constant' THEN 'single distinct value' END,
-    CASE WHEN pct_missing >= 60 THEN printf('%.1f%% missing, imputation would be mostly invention', CAST(pct_missing AS DOUBLE))
-         WHEN pct_missing >= 20 THEN printf('%.1f%% missing, keep a missingness indicator', CAST(pct_missing AS DOUBLE)) END,
-    CASE WHEN n_uncastable > 0 THEN n_uncastable || ' non-null values fail numeric parse' END,
-    CASE WHEN abs(skew) > 2 THEN printf('skew=%.2f, impute with the median', skew) END,
-    CASE WHEN role = 'identifier' THEN 'identifier, held as text' END) AS notes
+  concat_ws('; ', CASE WHEN role = 'empty' THEN 'holds no value' END,
+    CASE WHEN role = 'constant' THEN 'holds one value only' END,
+    CASE WHEN pct_missing >= 60 THEN printf('gaps in %.1f%% of the rows, more than a fill can stand for', CAST(pct_missing AS DOUBLE))
+         WHEN pct_missing >= 20 THEN printf('gaps in %.1f%% of the rows, so a flag for them is worth having', CAST(pct_missing AS DOUBLE)) END,
+    CASE WHEN n_uncastable > 0 THEN n_uncastable || ' cells do not read as numbers' END,
+    CASE WHEN abs(skew) > 2 THEN printf('skewness %.2f, so the middle value fits gaps better than the average', skew) END,
+    CASE WHEN role = 'identifier' THEN 'names rows, so it stays text' END) AS notes
 FROM rep"""
 
 _DIRTY = [("o_orderkey", "whole"), ("o_custkey", "whole"), ("status", "text"), ("total", "real"), ("paid", "text"),
@@ -378,18 +378,18 @@ UNION ALL SELECT 'cast_types', '{_CASTS}', left_, left_, 8, 8 FROM c""",
   'trim_whitespace; cast_types; ' || (SELECT string_agg(step, '; ' ORDER BY o) FROM ({_steps_sql()})) AS steps FROM tidy""",
     "plan_decisions": f"""{with_('dirty', 'dirty_orders')}, {facts('dirty', _DIRTY)}
 SELECT column_name, CASE WHEN role IN ('numeric', 'categorical') AND pct_missing < 60 THEN role ELSE 'drop' END AS action,
-  CASE role WHEN 'empty' THEN 'empty, no information' WHEN 'constant' THEN 'constant, no information' WHEN 'identifier' THEN 'identifier, not a feature'
-    WHEN 'text' THEN 'free text, ' || n_unique || ' distinct, needs an encoder' WHEN 'datetime' THEN 'datetime, derive features explicitly'
-    WHEN 'numeric' THEN 'numeric (' || CASE WHEN skew IS NULL OR abs(skew) > 0.5 THEN 'skewed' ELSE 'symmetric' END || ')'
-      || CASE WHEN pct_missing >= 5 THEN printf(', %.0f%% missing', CAST(pct_missing AS DOUBLE)) ELSE '' END
-    ELSE 'categorical, ' || n_unique || ' levels' END AS reason,
+  CASE role WHEN 'empty' THEN 'without a value' WHEN 'constant' THEN 'the same value everywhere' WHEN 'identifier' THEN 'names rows instead of describing them'
+    WHEN 'text' THEN n_unique || ' different texts, which no step here turns into numbers' WHEN 'datetime' THEN 'a point in time: make features of it first'
+    WHEN 'numeric' THEN 'numbers, ' || CASE WHEN skew IS NULL OR abs(skew) > 0.5 THEN 'lopsided' ELSE 'even on both sides' END
+      || CASE WHEN pct_missing >= 5 THEN printf('; %.0f%% gaps', CAST(pct_missing AS DOUBLE)) ELSE '' END
+    ELSE n_unique || ' levels' END AS reason,
   CASE WHEN role = 'numeric' THEN CASE WHEN skew IS NULL OR abs(skew) > 0.5 THEN 'median' ELSE 'mean' END
     WHEN role = 'categorical' THEN 'most_frequent' ELSE 'none' END AS impute, role = 'numeric' AND pct_missing >= 5 AS add_indicator
 FROM rep WHERE column_name <> 'priority'""",
     "plan_notes": f"""{with_('dirty', 'dirty_orders')}, {facts('dirty', _DIRTY)}, notes AS (
-  SELECT pos, printf('%s: %d extreme values (%.1f%%) flagged, not removed', column_name, n_extreme, CAST(pct_extreme AS DOUBLE)) AS note
+  SELECT pos, printf('%s: %d far values (%.1f%%) stay, robust scaling bears them', column_name, n_extreme, CAST(pct_extreme AS DOUBLE)) AS note
   FROM rep WHERE role = 'numeric' AND pct_extreme > 0 AND column_name <> 'priority'
-  UNION ALL SELECT 99, n_duplicate_rows || ' duplicate rows, removed in structural repair' FROM {_DATASET} WHERE n_duplicate_rows > 0)
+  UNION ALL SELECT 99, n_duplicate_rows || ' copies of rows go in the structural repair' FROM {_DATASET} WHERE n_duplicate_rows > 0)
 SELECT row_number() OVER (ORDER BY pos) AS position, note FROM notes""",
     "plan_transform": f"""{_LINES}, {_PLAN_FILL}, imp AS (SELECT label, coalesce(quantity, qf) AS quantity, price, coalesce(discount, df) AS discount,
   (quantity IS NULL)::DOUBLE AS mq, (discount IS NULL)::DOUBLE AS md FROM lines, fills),
