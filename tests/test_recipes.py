@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.chained import fit_chained
 from tidemark.operators.mutual_info import mutual_information
-from tidemark.operators.neighbours import knn_impute
+from tidemark.operators.neighbours import knn_impute, nearest
 from tidemark.operators import quantiles, repair
 from tidemark.operators.counts import distinct_counts
 from tidemark.operators.profile import profile
@@ -162,11 +162,40 @@ def test_nearest_imputation_equals_brute_force_with_hot_rows(spark):
             near = sorted((dist[r], x[r, j]) for r in range(len(x)) if seen[r] and not np.isnan(x[r, j]))
             want[i, j] = np.mean([v for _, v in near[:5]]) if near else np.nanmean(x[:, j])
     df = frame(spark, x, ["a", "b", "c"])
-    for block in (50_000, 30):
+    for block in (50_000, 7):
         got = np.array([r[1:] for r in knn_impute(df, df, ["a", "b", "c"], block_rows=block).orderBy("id").collect()], dtype=float)
         assert np.allclose(got, want, atol=1e-9)
 
 
+def test_neighbours_with_gaps_visit_few_pairs(spark):
+    """Gapped points in three dimensions, many blocks: few per cent of all pairs are looked at, and the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    n, k = 40_000, 5
+    x = rng.normal(size=(n, 3))
+    x[rng.random(x.shape) < 0.15] = np.nan
+    df = frame(spark, x, ["a", "b", "c"])
+    pairs = spark.sparkContext.accumulator(0)
+    vec = F.array("a", "b", "c")
+    donors = df.select(vec.alias("vec")).groupBy("vec").agg(F.count(F.lit(1)).alias("mult")).select(F.lit(0).cast("long").alias("grp"), "vec", "mult")
+    asked = donors.where(F.exists("vec", lambda v: v.isNull())).select("grp", "vec")
+    found = nearest(asked, donors, 3, k, True, 2000, 200, pairs).collect()
+    rows = np.array([[np.nan if v is None else v for v in r.vec] for r in donors.collect()])
+    gapped = rows[np.isnan(rows).any(axis=1)]
+    assert 0 < pairs.value < 0.07 * len(gapped) * len(rows)
+    got = {}
+    for r in found:
+        got.setdefault((tuple("x" if v is None else v for v in r.vec), r.slot), []).append((r.dist, r.hit[0]))
+    for i in range(0, len(gapped), 200):
+        gap = gapped[i] - rows
+        seen = (~np.isnan(gap)).sum(1)
+        dist = np.where(seen > 0, np.sqrt(3 / np.maximum(seen, 1) * np.nansum(gap**2, axis=1)), np.inf)
+        for j in np.flatnonzero(np.isnan(gapped[i])):
+            has = ~np.isnan(rows[:, j]) & np.isfinite(dist)
+            want = sorted(zip(dist[has], rows[has, j]))[:k]
+            mine = sorted(got.get((tuple("x" if np.isnan(v) else v for v in gapped[i]), j), []))
+            assert np.allclose(mine, want, atol=1e-9) if want else not mine
+
+
 def test_oversampling_counts_and_segments(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 2))

@@ -1,11 +1,11 @@
-"""Exact k nearest neighbours without a cross join.
-
-Donor points are collapsed to distinct vectors with a count, cut into blocks of
-bounded size along a small split tree, and each block is described by its bounding
-box. A query first searches its home block, which bounds its k-th distance, and
-then only the blocks whose box lies within that bound. Inside a block, distances
-are a numpy calculation over Arrow batches; only the k best leave it. Nothing is
-sampled away: the pilot that shapes the tree affects speed, never the result.
+"""Exact k nearest neighbours without a cross join, also for vectors with gaps.
+
+Donor points are collapsed to distinct vectors with a count and parted by which features they have, so that within a part every
+distance to a query is taken over the same features. Each part is sorted along a space-filling curve and cut into blocks; a block has
+a tight bounding box, and a tree of boxes stands above the blocks, level by level, as tables. Queries are blocked
+alike. In each round a block of queries visits its nearest blocks of donors not seen yet, which gives or shrinks the bound
+of its k-th distances; the rounds end when no box within the bound is left. Inside a block, distances are a numpy
+calculation over Arrow batches. Nothing is sampled away: sketches and curve affect speed, never the result.
 """
 
 from __future__ import annotations
@@ -13,157 +13,270 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import q
 from ..session import materialise
-
-BLOCK_ROWS = 50_000      # donor vectors per block
-QUERY_ROWS = 20_000      # query vectors per task and block
-MAX_BLOCKS = 20_000      # blocks grow beyond BLOCK_ROWS rather than exceed this
-PILOT_ROWS = 50_000
+from .quantiles import sketches
+
+BLOCK_ROWS = 8192        # donor vectors in a block
+QUERY_ROWS = 512         # query vectors in a block
+PART_ROWS = 20_000       # query vectors that one task searches a block for
+FANOUT = 32              # boxes below a box
+RUN_ROWS = 32            # donor vectors of a run inside a block
+FIRST_VISITS = 2         # blocks that a block of queries visits in the first round; later rounds visit four times as many each
 _CELLS = 4_000_000       # distance cells held at once inside a task
+_LEVELS = 1024           # steps of a feature along the curve
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    """Vectors as rows, gaps as NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+
+
+def _curve(m: np.ndarray, grids: list[np.ndarray | None]) -> np.ndarray:
+    """Place of each vector along a Z-shaped curve: the leading bits of its features' ranks, dealt in turn."""
+    used = [j for j, g in enumerate(grids) if g is not None][:60]
+    code = np.zeros(len(m), np.int64)
+    bits = min(10, 60 // max(1, len(used)))
+    ranks = {j: np.where(np.isnan(m[:, j]), 0, np.clip(np.searchsorted(grids[j], np.nan_to_num(m[:, j])), 0, _LEVELS - 1)).astype(np.int64) for j in used}
+    for b in range(bits):
+        for j in used:
+            code = (code << 1) | ((ranks[j] >> (9 - b)) & 1)
+    return code
+
+
+def _pattern(vec: str) -> Column:
+    """Which features a vector has, as text of 0 and 1."""
+    return F.array_join(F.transform(vec, lambda x: F.when(x.isNull(), "0").otherwise("1")), "")
+
+
+def _blocked(points: DataFrame, grids: list[np.ndarray | None], rows: int, block: str) -> DataFrame:
+    """``points`` (grp, vec, ...) with pattern, curve and a number of their block: at most ``rows`` neighbours along the curve of one part."""
+    d, kept = len(grids), points.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", curve long"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _curve(_matrix(batch.column("vec"), d), grids) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "curve"])
+
+    coded = materialise(points.mapInArrow(add, schema).withColumn("pattern", _pattern("vec")), "curve")
+    keys = ["grp", "pattern", "curve"]
+    dealt = coded.repartitionByRange(*keys, F.xxhash64("vec")).sortWithinPartitions(*keys)
+    placed = materialise(dealt.withColumn("at", F.monotonically_increasing_id()), "dealt")
+    part = F.shiftright("at", 33)
+    first = placed.groupBy("grp", "pattern", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    # Blocks are numbered over all runs (a run: one part in one partition).
+    order = Window.orderBy("part", "grp", "pattern")  # one row a run
+    count = F.ceil(F.col("n") / F.lit(rows))
+    runs = first.withColumn("before", F.sum(count).over(order) - count)
+    same = (F.col("grp") == F.col("_g")) & (F.col("pattern") == F.col("_p")) & (part == F.col("part"))
+    joined = placed.join(runs.select(F.col("grp").alias("_g"), F.col("pattern").alias("_p"), "part", "first", "before"), same)
+    number = F.col("before") + F.floor((F.col("at") - F.col("first")) / F.lit(rows))
+    return joined.select(*kept, "pattern", number.cast("long").alias(block))
+
+
+def _boxes(blocked: DataFrame, d: int, block: str) -> DataFrame:
+    """block, grp, pattern, lo and hi (arrays, null where the part lacks the feature), size."""
+    aggs = [F.first("grp").alias("grp"), F.first("pattern").alias("pattern"), F.count(F.lit(1)).alias("size")]
+    lo = [F.min(F.col("vec")[j]).alias(f"lo{j}") for j in range(d)]
+    hi = [F.max(F.col("vec")[j]).alias(f"hi{j}") for j in range(d)]
+    found = blocked.groupBy(block).agg(*aggs, *lo, *hi)
+    return found.select(block, "grp", "pattern", "size", F.array(*[f"lo{j}" for j in range(d)]).alias("lo"), F.array(*[f"hi{j}" for j in range(d)]).alias("hi"))
+
+
+def _tree(boxes: DataFrame, d: int) -> list[DataFrame]:
+    """Levels of boxes from the blocks up to one for each part: node, parent, grp, pattern, lo, hi."""
+    in_part = Window.partitionBy("grp", "pattern").orderBy("block")  # one row a block
+    level = materialise(boxes.withColumn("node", (F.row_number().over(in_part) - 1).cast("long")), "boxes")
+    levels = []
+    most = level.agg(F.max("node")).first()[0] or 0
+    while True:
+        levels.append(level.withColumn("parent", F.floor(F.col("node") / F.lit(FANOUT))))
+        if most < 1:
+            return levels
+        up = levels[-1].groupBy("grp", "pattern", "parent").agg(
+            *[F.min(F.col("lo")[j]).alias(f"lo{j}") for j in range(d)], *[F.max(F.col("hi")[j]).alias(f"hi{j}") for j in range(d)]
+        )
+        level = materialise(up.select(
+            "grp", "pattern", F.col("parent").alias("node"),
+            F.array(*[f"lo{j}" for j in range(d)]).alias("lo"), F.array(*[f"hi{j}" for j in range(d)]).alias("hi"),
+        ), "boxes")
+        most //= FANOUT
+
+
+def _least_distance(d: int) -> Column:
+    """Least distance between a box of queries (qlo, qhi) and one of donors (lo, hi), over the features both have."""
+    gaps = [
+        F.greatest(F.col("lo")[j] - F.col("qhi")[j], F.col("qlo")[j] - F.col("hi")[j], F.lit(0.0)) for j in range(d)
+    ]
+    both = [F.col("lo")[j].isNotNull() & F.col("qlo")[j].isNotNull() for j in range(d)]
+    total = sum((F.when(b, g * g).otherwise(0.0) for b, g in zip(both, gaps)), F.lit(0.0))
+    shared = sum((b.cast("int") for b in both), F.lit(0))
+    return F.when(shared > 0, F.sqrt(F.lit(float(d)) / F.greatest(shared, F.lit(1)) * total))
+
+
+def _useful(d: int, fill_gaps: bool) -> Column:
+    """Whether a part can tell queries of a pattern anything: they share a feature and, to fill gaps, it has one that they lack."""
+    both = F.lit(False)
+    more = F.lit(not fill_gaps)
+    for j in range(d):
+        ours, theirs = F.substring("qpattern", j + 1, 1), F.substring("pattern", j + 1, 1)
+        both = both | ((ours == "1") & (theirs == "1"))
+        more = more | ((ours == "0") & (theirs == "1"))
+    return both & more
 
 
-class _SplitTree:
-    """Axis splits learnt from a bounded pilot. Missing values go left."""
-
-    def __init__(self, pilot: np.ndarray, leaves: int):
-        self.axis: list[int] = []
-        self.cut: list[float] = []
-        self.child: list[tuple[int, int]] = []
-        self._n = 0
-        self.root = self._grow(pilot, leaves)
-
-    def _grow(self, rows: np.ndarray, leaves: int) -> int:
-        """Index of a split node, or -(leaf + 1)."""
-        if leaves > 1 and len(rows) >= 2:
-            clean = np.where(np.isfinite(rows), rows, np.nan)
-            with np.errstate(all="ignore"):
-                spread = np.nan_to_num(np.nanmax(clean, axis=0, initial=-np.inf, where=~np.isnan(clean))
-                                       - np.nanmin(clean, axis=0, initial=np.inf, where=~np.isnan(clean)), neginf=0.0)
-            axis = int(np.argmax(spread))
-            seen = np.sort(clean[:, axis][~np.isnan(clean[:, axis])])
-            if len(seen) > 1 and seen[0] < seen[-1]:
-                cut = float(seen[(len(seen) - 1) // 2])
-                if cut == seen[-1]:
-                    cut = float(seen[seen < cut][-1])
-                node = len(self.axis)
-                self.axis.append(axis)
-                self.cut.append(cut)
-                self.child.append((0, 0))
-                right = rows[:, axis] > cut
-                self.child[node] = (self._grow(rows[~right], leaves // 2), self._grow(rows[right], leaves - leaves // 2))
-                return node
-        self._n += 1
-        return -self._n
-
-    def leaf(self, m: np.ndarray) -> np.ndarray:
-        where = np.full(len(m), self.root)
-        while (where >= 0).any():
-            for node in np.unique(where[where >= 0]):
-                at = np.flatnonzero(where == node)
-                right = m[at, self.axis[node]] > self.cut[node]
-                where[at] = np.where(right, self.child[node][1], self.child[node][0])
-        return -where - 1
-
-
-def _matrix(vectors: pd.Series, d: int) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.empty((0, d))
-    return np.stack(vectors.to_numpy()).astype(float)
-
-
-def _gaps_as_null(vec: str) -> Column:
-    """pandas hands missing cells back as NaN."""
-    return F.transform(vec, lambda x: F.when(~F.isnan(x), x))
-
-
-def _with_leaf(points: DataFrame, tree: _SplitTree | None, d: int) -> DataFrame:
-    if tree is None:
-        return points.withColumn("leaf", F.lit(0))
-    fields = points.schema.simpleString()[7:-1] + ",leaf:int"
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(leaf=tree.leaf(_matrix(pdf["vec"], d)).astype("int32"))
-
-    return points.mapInPandas(assign, fields).withColumn("vec", _gaps_as_null("vec"))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean over co-observed features, scaled by d / observed; NaN when none is."""
-    d = a.shape[1]
-    total = np.zeros((len(a), len(b)))
-    present = np.zeros((len(a), len(b)))
-    for j in range(d):
-        gap = a[:, j, None] - b[None, :, j]
-        ok = ~np.isnan(gap)
-        total += np.where(ok, gap, 0.0) ** 2
-        present += ok
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(present > 0, np.sqrt(d / present * total), np.nan)
-
-
-def _best(dist: np.ndarray, tie: np.ndarray, mult: np.ndarray, k: int) -> np.ndarray:
-    """Donor positions by (distance, tie key) until their counts reach k."""
-    order = np.flatnonzero((mult > 0) & ~np.isnan(dist))
-    if len(order) > 4 * k:
-        edge = np.partition(dist[order], k - 1)[k - 1]
-        order = order[dist[order] <= edge]
-    order = order[np.lexsort((*tie.T[::-1][:, order], dist[order]))]
-    reached = np.cumsum(mult[order])
-    return order[: int(np.searchsorted(reached, k)) + 1]
-
-
-def _searcher(d: int, k: int, fill_gaps: bool):
-    """Block search for cogrouped (queries, donors)."""
-
-    def search(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        a, b = _matrix(queries["vec"], d), _matrix(donors["vec"], d)
-        mult = donors["mult"].to_numpy() if len(donors) else np.empty(0)
-        out: list[tuple] = []
-        step = max(1, _CELLS // max(len(b), 1))
-        vecs, groups = list(queries["vec"]), list(queries["grp"])
-        for start in range(0, len(a) if len(b) else 0, step):
-            part = a[start : start + step]
-            dist = _distances(part, b)
-            for i in range(len(part)):
-                if fill_gaps:
-                    for j in np.flatnonzero(np.isnan(part[i])):
-                        has = np.where(np.isnan(b[:, j]), 0, mult)
-                        for p in _best(dist[i], b[:, [j]], has, k):
-                            out.append((groups[start + i], vecs[start + i], int(j), float(dist[i, p]), [float(b[p, j])], int(mult[p])))
-                else:
-                    own = np.where((b == part[i]).all(axis=1), mult - 1, mult)
-                    for p in _best(dist[i], b, own, k):
-                        out.append((groups[start + i], vecs[start + i], 0, float(dist[i, p]), b[p].tolist(), int(own[p])))
-        return pd.DataFrame(out, columns=["grp", "vec", "slot", "dist", "hit", "mult"])
+def _descend(blocks: DataFrame, levels: list[DataFrame], d: int, fill_gaps: bool, beam: int | None) -> DataFrame:
+    """(qblock, block, far) that a query block may have to visit, ``far`` being the least distance of the boxes.
 
-    return search
+    ``blocks`` has qblock, qpattern, grp, qlo, qhi and bound. At each level only boxes within the bound stay and, with ``beam``, only so
+    many of the nearest.
+    """
+    carried = ["qblock", "qpattern", "grp", "qlo", "qhi", "bound"]
+    here = blocks.select(*carried, F.lit(None).cast("string").alias("of"), F.lit(0).cast("long").alias("up"))
+    nearest = Window.partitionBy("qblock").orderBy("far", "node", "pattern")
+    for i, level in enumerate(reversed(levels)):
+        below = level.withColumnRenamed("grp", "_g")
+        on = (F.col("grp") == F.col("_g")) & (F.col("parent") == F.col("up"))
+        joined = here.join(below, on if i == 0 else on & (F.col("pattern") == F.col("of")))
+        if i == 0:
+            joined = joined.where(_useful(d, fill_gaps))
+        # A hair of slack keeps rounding from hiding a block that ties.
+        here = joined.withColumn("far", _least_distance(d)).where(F.col("far") <= F.col("bound") * (1 + 1e-9))
+        if beam:
+            here = here.withColumn("_nth", F.row_number().over(nearest)).where(F.col("_nth") <= beam).drop("_nth")
+        if i < len(levels) - 1:
+            here = here.select(*carried, F.col("pattern").alias("of"), F.col("node").alias("up"))
+    return here.select("qblock", "block", "far")
+
+
+def _closest(dist: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least (distance, tie) of each row; infinite distances do not count."""
+    edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if dist.shape[1] > k else np.inf
+    rows, cols = np.nonzero((dist <= edge) & (dist < np.inf))
+    order = np.lexsort((tie[cols], dist[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < k], cols[nth < k]
+
+
+_FOUND = "qid long, slot int, dist double, hit array<double>, mult long"
+
+
+def _box_distance(a: np.ndarray, low: np.ndarray, high: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Least distance of each point to each box over the shared features."""
+    total = np.zeros((len(a), len(low)))
+    for j in shared:
+        total += np.maximum(np.maximum(low[None, :, j] - a[:, j, None], a[:, j, None] - high[None, :, j]), 0.0) ** 2
+    return np.sqrt(a.shape[1] / len(shared) * total)
+
+
+def _searcher(d: int, k: int, fill_gaps: bool, grids: list[np.ndarray | None], visited):
+    """Search of one block for the queries that visit it (cogrouped).
+
+    The block is cut into short runs with boxes of their own. A query looks at its nearest run, which bounds its k-th distance here,
+    and then at the runs within that bound and the one it came with.
+    """
 
+    def pieces(queries: pa.Table, donors: pa.Table) -> Iterator[tuple]:
+        b = _matrix(donors.column("vec"), d)
+        order = np.argsort(_curve(b, grids), kind="stable")
+        b, mult = b[order], donors.column("mult").to_numpy()[order]
+        cuts = np.arange(0, len(b), RUN_ROWS)
+        low, high = np.minimum.reduceat(b, cuts, axis=0), np.maximum.reduceat(b, cuts, axis=0)
+        has = ~np.isnan(b[0])
+        whole = np.empty(len(b))
+        whole[np.lexsort(b.T[::-1])] = np.arange(len(b))
+        everyone = _matrix(queries.column("vec"), d)
+        patterns, pattern = np.unique(~np.isnan(everyone), axis=0, return_inverse=True)
+        for p, seen in enumerate(patterns):
+            shared = np.flatnonzero(seen & has)
+            slots = np.flatnonzero(~seen & has) if fill_gaps else [0]
+            if not len(shared) or not len(slots):
+                continue
+            own = np.flatnonzero(pattern.ravel() == p)
+            step = max(1, _CELLS // max(RUN_ROWS, len(cuts)))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
+                yield from one(everyone[rows], rows, queries, b, mult, cuts, low, high, whole, shared, slots)
+
+    def one(a, rows, queries, b, mult, cuts, low, high, whole, shared, slots) -> Iterator[tuple]:
+        ids, bound = queries.column("qid").to_numpy()[rows], queries.column("reach").to_numpy()[rows]
+        far = _box_distance(a, low, high, shared)
+        home = far.argmin(axis=1)
+        home[far.min(axis=1) > bound * (1 + 1e-9)] = -1
+        found: dict[int, list] = {slot: [] for slot in slots}
+
+        def look(rows: np.ndarray, run: int) -> None:
+            part = slice(cuts[run], cuts[run] + RUN_ROWS)
+            total = np.zeros((len(rows), len(b[part])))
+            for j in shared:
+                total += (a[rows, j, None] - b[None, part, j]) ** 2
+            if visited is not None:
+                visited.add(total.size)
+            dist, same = np.sqrt(d / len(shared) * total), np.zeros(total.shape, bool)
+            if not fill_gaps:
+                same = np.ones(dist.shape, bool)
+                for j in range(d):
+                    same &= a[rows, j, None] == b[None, part, j]
+                dist[same & (mult[part] == 1)] = np.inf
+            for slot in slots:
+                r, c = _closest(dist, (b[:, slot] if fill_gaps else whole)[part], k)
+                found[slot].append((rows[r], c + cuts[run], dist[r, c], mult[part][c] - same[r, c]))
+
+        for run in np.unique(home[home >= 0]):
+            look(np.flatnonzero(home == run), run)
+        here = np.full(len(a), -np.inf)
+        for slot in slots:
+            r = np.concatenate([x[0] for x in found[slot]] or [np.zeros(0, np.int64)])
+            worst = np.full(len(a), -np.inf)
+            np.maximum.at(worst, r, np.concatenate([x[2] for x in found[slot]] or [np.zeros(0)]))
+            here = np.maximum(here, np.where(np.bincount(r, minlength=len(a)) >= k, worst, np.inf))
+        bound = np.minimum(bound, here) * (1 + 1e-9)
+        for run in range(len(cuts)):
+            more = np.flatnonzero((far[:, run] <= bound) & (home != run) & (home >= 0))
+            if len(more):
+                look(more, run)
+        for slot in slots:
+            if found[slot]:
+                r, c, dist, count = (np.concatenate(x) for x in zip(*found[slot]))
+                order = np.lexsort((b[c, slot] if fill_gaps else whole[c], dist, r))
+                order = order[np.arange(len(r)) - np.searchsorted(r[order], r[order]) < k]
+                r, c = r[order], c[order]
+                yield ids[r], np.full(len(r), slot, np.int32), dist[order], b[c][:, [slot]] if fill_gaps else b[c], count[order]
+
+    def search(queries: pa.Table, donors: pa.Table) -> pa.Table:
+        parts = list(pieces(queries, donors)) if len(queries) and len(donors) else []
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, 1 if fill_gaps else d)), np.zeros(0, np.int64)
+        ids, slots, dist, hits, count = (np.concatenate(x) for x in zip(empty, *parts))
+        ends = np.arange(len(hits) + 1, dtype=np.int32) * hits.shape[1]
+        return pa.Table.from_arrays(
+            [pa.array(ids), pa.array(slots), pa.array(dist), pa.ListArray.from_arrays(pa.array(ends), pa.array(hits.ravel())), pa.array(count.astype(np.int64))],
+            names=["qid", "slot", "dist", "hit", "mult"],
+        )
 
-_FOUND = "grp bigint, vec array<double>, slot int, dist double, hit array<double>, mult bigint"
+    return search
 
 
-def _search_blocks(pairs: DataFrame, donors: DataFrame, d: int, k: int, fill_gaps: bool, query_rows: int) -> DataFrame:
-    """Search (query, block) pairs; hot blocks are split over several tasks by query."""
-    load = pairs.groupBy("grp", "leaf", "sub").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(query_rows)), F.lit(1)).cast("int").alias("parts")
-    )
-    cut = pairs.join(load, ["grp", "leaf", "sub"]).withColumn(
-        "part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")
+def _search(visits: DataFrame, queries: DataFrame, pool: DataFrame, reach: DataFrame | None, d: int, k: int, fill_gaps: bool, grids, visited) -> DataFrame:
+    """What the visits find. A block that many queries visit is dealt to several tasks by query."""
+    asked = visits.join(queries.select("qid", "qblock", "vec"), "qblock")
+    asked = asked.join(reach, "qid") if reach is not None else asked.withColumn("reach", F.lit(float("inf")))
+    load = visits.join(queries.groupBy("qblock").agg(F.count(F.lit(1)).alias("n")), "qblock").groupBy("block").agg(
+        F.greatest(F.ceil(F.sum("n") / F.lit(PART_ROWS)), F.lit(1)).cast("int").alias("parts")
     )
-    copies = donors.join(load, ["grp", "leaf", "sub"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
-    keys = ["grp", "leaf", "sub", "part"]
+    dealt = asked.join(load, "block").withColumn("part", F.pmod(F.col("qid"), F.col("parts")).cast("int"))
+    copies = pool.join(load, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["block", "part"]
     return (
-        cut.select(*keys, "vec").groupBy(*keys)
+        dealt.select(*keys, "qid", "vec", "reach").groupBy(*keys)
         .cogroup(copies.select(*keys, "vec", "mult").groupBy(*keys))
-        .applyInPandas(_searcher(d, k, fill_gaps), _FOUND)
-        .withColumn("vec", _gaps_as_null("vec"))
+        .applyInArrow(_searcher(d, k, fill_gaps, grids, visited), _FOUND)
     )
 
 
@@ -175,80 +288,63 @@ def nearest(
     fill_gaps: bool,
     block_rows: int = BLOCK_ROWS,
     query_rows: int = QUERY_ROWS,
+    visited=None,
 ) -> DataFrame:
-    """Candidates (grp, vec, slot, dist, hit, mult) whose k best by (dist, hit) are exact.
+    """(grp, vec, slot, dist, hit, mult, take): the k nearest by (dist, hit) of each query and slot, exact.
 
     ``queries``: (grp, vec), distinct. ``donors``: (grp, vec, mult), distinct. With
     ``fill_gaps`` each missing cell of a query is a slot and donors are the vectors
     that have it; otherwise the slot is 0 and one copy of the query is not its own
-    neighbour.
+    neighbour. Distances are over the features both have, scaled up by their share; without a common one there is none.
+    ``take`` says how many copies of a hit count. ``visited``, an accumulator, counts the distances taken.
     """
-    queries = queries.select(F.col("grp").alias("grp"), F.col("vec").alias("vec"))   # may derive from donors
-    n = donors.count()
-    block_rows = max(block_rows, n // MAX_BLOCKS)
-    if n <= block_rows:
-        home = queries.withColumn("leaf", F.lit(0)).withColumn("sub", F.lit(0))
-        pool = donors.withColumn("leaf", F.lit(0)).withColumn("sub", F.lit(0))
-        spread = max(500, min(query_rows, _CELLS * 8 // max(n, 1)))
-        return _search_blocks(home, pool, d, k, fill_gaps, spread)
-
-    pilot = donors.sample(min(1.0, PILOT_ROWS / n), seed=1).limit(2 * PILOT_ROWS).select("vec").toPandas()
-    tree = _SplitTree(_matrix(pilot["vec"], d), min(n // block_rows + 1, max(2, len(pilot) // 16)))
-    leafed = _with_leaf(donors, tree, d)
-    subs = leafed.groupBy("grp", "leaf").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("subs")
-    )
-    pool = leafed.join(subs, ["grp", "leaf"]).withColumn("sub", F.pmod(F.xxhash64("vec"), F.col("subs")).cast("int"))
-    stats = [F.count(F.lit(1)).alias("size")]
-    for j in range(d):
-        c = F.col("vec")[j]
-        stats += [F.min(c).alias(f"lo{j}"), F.max(c).alias(f"hi{j}"), F.count(c).alias(f"ok{j}")]
-    boxes = pool.groupBy("grp", "leaf", "sub").agg(*stats).toPandas()   # at most ~MAX_BLOCKS rows per group
-
-    placed = _with_leaf(queries, tree, d).join(subs, ["grp", "leaf"], "left")
-    home = placed.select(
-        "grp", "vec", "leaf", F.coalesce(F.pmod(F.xxhash64("vec"), F.col("subs")), F.lit(0)).cast("int").alias("sub")
-    )
-    first = materialise(_search_blocks(home, pool, d, k, fill_gaps, query_rows), "near")   # read twice below
-    ends = (
-        top_k(first, k)
-        .groupBy("grp", "vec", "slot")
-        .agg(F.sum("take").alias("got"), F.max("dist").alias("far"))
-        .groupBy("grp", "vec")
-        .agg(F.max(F.when(F.col("got") >= k, F.col("far")).otherwise(F.lit(float("inf")))).alias("reach"),
-             F.count(F.lit(1)).alias("slots"))
-    )
-    missing = F.size(F.filter("vec", lambda x: x.isNull())) if fill_gaps else F.lit(1)
-    reach = home.join(ends, ["grp", "vec"], "left").select(
-        "grp", "vec", "leaf", "sub",
-        F.when(F.col("slots") >= missing, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach"),
-    )
-    lo = boxes[[f"lo{j}" for j in range(d)]].to_numpy(dtype=float)
-    hi = boxes[[f"hi{j}" for j in range(d)]].to_numpy(dtype=float)
-    full = boxes[[f"ok{j}" for j in range(d)]].to_numpy() == boxes["size"].to_numpy()[:, None]
-    place = boxes[["grp", "leaf", "sub"]].to_numpy()
-
-    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            m = _matrix(pdf["vec"], d)
-            rows: list[tuple] = []
-            for i, (g, leaf, sub, r) in enumerate(zip(pdf["grp"], pdf["leaf"], pdf["sub"], pdf["reach"])):
-                gap = np.maximum(np.maximum(lo - m[i], m[i] - hi), 0.0)
-                gap = np.where(full & ~np.isnan(m[i]), gap, 0.0)
-                # A hair of slack keeps rounding from hiding a block that ties.
-                near = np.sqrt((gap**2).sum(axis=1)) <= r * (1 + 1e-9)
-                near &= (place[:, 0] == g) & ~((place[:, 1] == leaf) & (place[:, 2] == sub))
-                rows += [(g, pdf["vec"].iloc[i], int(b[1]), int(b[2])) for b in place[near]]
-            yield pd.DataFrame(rows, columns=["grp", "vec", "leaf", "sub"])
-
-    others = reach.mapInPandas(reachable, "grp bigint, vec array<double>, leaf int, sub int")
-    others = others.withColumn("vec", _gaps_as_null("vec"))
-    return first.unionByName(_search_blocks(others, pool, d, k, fill_gaps, query_rows))
-
-
-def top_k(found: DataFrame, k: int) -> DataFrame:
-    """The k best candidates per (grp, vec, slot); ``take`` says how many copies count."""
-    w = Window.partitionBy("grp", "vec", "slot").orderBy("dist", "hit")
+    donors = materialise(donors.select("grp", "vec", "mult"), "donors")
+    seen = sketches(donors, {str(j): F.col("vec")[j] for j in range(d)})
+    grids = [seen[str(j)].grid[1:-1] if seen[str(j)] is not None else None for j in range(d)]
+    pool = materialise(_blocked(donors, grids, block_rows, "block"), "pool")
+    levels = _tree(_boxes(pool, d, "block"), d)
+    asked = _blocked(queries.select(F.col("grp").alias("grp"), F.col("vec").alias("vec")), grids, query_rows, "qblock")
+    asked = materialise(asked.withColumn("qid", F.monotonically_increasing_id()), "queries")
+    boxes = materialise(_boxes(asked, d, "qblock").select(
+        "qblock", "grp", F.col("pattern").alias("qpattern"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), "size"
+    ), "query-boxes")
+
+    blocks = levels[0].count()
+    per_query = F.length(F.regexp_replace("pattern", "1", "")) if fill_gaps else F.lit(1)
+    best: DataFrame | None = None
+    done: DataFrame | None = None
+    reach: DataFrame | None = None
+    beam = FIRST_VISITS
+    while True:
+        if reach is None:
+            todo = _descend(boxes.withColumn("bound", F.lit(float("inf"))), levels, d, fill_gaps, beam)
+        else:
+            bound = asked.join(reach, "qid").groupBy("qblock").agg(F.max("reach").alias("bound"))
+            within = _descend(boxes.join(bound, "qblock"), levels, d, fill_gaps, None)
+            left = within.join(done, ["qblock", "block"], "left_anti")
+            nth = F.row_number().over(Window.partitionBy("qblock").orderBy("far", "block"))
+            todo = left.withColumn("_nth", nth).where(F.col("_nth") <= beam)
+        todo = materialise(todo.select("qblock", "block"), "visits")
+        if best is not None and todo.isEmpty():
+            break
+        found = _search(todo, asked, pool, reach, d, k, fill_gaps, grids, visited)
+        best = materialise(top_k(found if best is None else best.select(*found.columns).unionByName(found), k, ["qid", "slot"]), "near")
+        if blocks <= beam:
+            break  # the first round has seen all there is
+        done = todo if done is None else done.unionByName(todo)
+        filled = best.groupBy("qid", "slot").agg(F.sum("take").alias("got"), F.max("dist").alias("far"))
+        filled = filled.where(F.col("got") >= k).groupBy("qid").agg(F.count(F.lit(1)).alias("slots"), F.max("far").alias("far"))
+        full = F.col("slots") >= per_query
+        reach = materialise(asked.join(filled, "qid", "left").select(
+            "qid", F.when(full, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach")
+        ), "reach")
+        beam *= 4
+    return best.join(asked.select("qid", "grp", "vec"), "qid").drop("qid")
+
+
+def top_k(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """The k best candidates by ``keys``; ``take`` says how many copies count."""
+    w = Window.partitionBy(*keys).orderBy("dist", "hit")
     before = F.coalesce(F.sum("mult").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         found.withColumn("_before", before)
@@ -274,7 +370,7 @@ def knn_impute(
     any_gap = F.exists("_vec", lambda x: x.isNull())
     marked = df.withColumn("_vec", vec)
     asked = marked.where(any_gap).select(F.lit(0).cast("bigint").alias("grp"), F.col("_vec").alias("vec")).distinct()
-    picked = top_k(nearest(asked, donors, d, k, True, block_rows), k)
+    picked = nearest(asked, donors, d, k, True, block_rows)
     cells = picked.groupBy("vec", "slot").agg(
         (F.sum(F.col("hit")[0] * F.col("take")) / F.sum("take")).alias("value")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import q, unit
-from .neighbours import BLOCK_ROWS, nearest, top_k
+from .neighbours import BLOCK_ROWS, nearest
 from .ranks import hashed_rank, row_identity
 
 _BROADCAST_CLASSES = 10_000
@@ -38,7 +38,7 @@ def oversample(
     vec = F.array(*[q(f).cast("double") for f in features])
     seeds = minor.withColumn("_vec", vec)
     points = seeds.groupBy(F.col("grp"), F.col("_vec").alias("vec")).agg(F.count(F.lit(1)).alias("mult"))
-    picked = top_k(nearest(points.select("grp", "vec"), points, len(features), k, False, block_rows), k)
+    picked = nearest(points.select("grp", "vec"), points, len(features), k, False, block_rows)
     expanded = picked.groupBy("grp", "vec").agg(
         F.flatten(
             F.transform(
