@@ -326,3 +326,68 @@ def repaired_rows(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return dealt.mapInArrow(run, "conv_id long, place long, edit string, role string, text string")
+
+
+def _oracle() -> str:
+    """The same search over whole strings: for each state the least (cost, edits, text), row after row."""
+    add = lambda s, cost, edit, line: (
+        f"CASE WHEN {s} IS NOT NULL THEN {{'c': ({s}).c + {cost}, 'a': ({s}).a || '{edit}', "
+        f"'t': ({s}).t || CASE WHEN ({s}).t = '' THEN '' ELSE chr(10) END || {line}}} END"
+    )
+    gone = lambda s: f"CASE WHEN {s} IS NOT NULL THEN {{'c': ({s}).c + 2, 'a': ({s}).a || 'D', 't': ({s}).t}} END"
+    least = lambda *options: f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+    empty = lambda s, role: add(s, 5, "I", f"'{role}:'")
+    kept = lambda s, role: f"CASE WHEN NOT gone AND role[1] = '{role}' THEN {add(s, '5 * cut::INT', 'K', chr(39) * 2 + ' || role || ' + chr(39) + ':' + chr(39) + ' || text')} END"
+    named = lambda s, role: f"CASE WHEN NOT gone THEN {add(s, '1 + 5 * cut::INT', 'R', chr(39) + role + ':' + chr(39) + ' || text')} END"
+    return f"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), fated AS (
+  SELECT raw.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS fate FROM raw, steps
+), damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+), told AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    i > 1 AND coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY i), '')[1] || role[1] NOT IN ('su', 'ua', 'au') AS odd FROM numbered
+), rows_told AS (
+  SELECT *, blank OR again AS gone, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM told
+), dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {gone('n')}, {least(gone('s'), kept('n', 's'))},
+    {least(gone('u'), named('n', 'user'), named('s', 'user'), named('a', 'user'), kept('n', 'u'), kept('s', 'u'), kept('a', 'u'))},
+    {least(gone('a'), named('u', 'assistant'), kept('u', 'a'))}
+  FROM (
+    SELECT conv_id, i, role, text, gone, cut, n, s, u, {least('a', empty('u', 'assistant'))} AS a FROM (
+      SELECT dp.conv_id, r.i, r.role, r.text, r.gone, r.cut, n, s, a,
+        {least('u', empty('n', 'user'), empty('s', 'user'), empty('a', 'user'))} AS u
+      FROM dp JOIN rows_told r ON dp.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = dp.i + 1
+    )
+  )
+), ended AS (
+  SELECT conv_id, {least('n', 'a', empty('u', 'assistant'))} AS best FROM (
+    SELECT conv_id, i, n, a, {least('u', empty('n', 'user'), empty('s', 'user'), empty('a', 'user'))} AS u FROM dp
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (odd) AS illegal FROM rows_told GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, (best).c::BIGINT AS cost, (best).a AS audit,
+  sha256((best).t) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLE = _oracle()

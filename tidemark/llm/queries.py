@@ -124,5 +124,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_licence_scan": licences.ORACLE, "op2_top_k": topk.ORACLE, "op5_url_filter": urls.ORACLE, "op6_mixing": mixing.ORACLE,
-    "op11_fingerprints": fingerprints.ORACLE, "op13_dataset_manifest": manifest.ORACLE,
+    "op9_shingle_join": jaccard.ORACLE, "op11_fingerprints": fingerprints.ORACLE,
+    "op12_conversation_repair": conversations.ORACLE, "op13_dataset_manifest": manifest.ORACLE,
 }

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Text bytes that a task works on at once; one longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Bytes of words and ids that a worker remembers before it forgets the rarer half.
-CACHED_BYTES = 12 << 20
+CACHED_BYTES = 40 << 20
 #: A word longer than this is coded anew each time.
 LONG_WORD = 256
 
