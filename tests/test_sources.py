@@ -51,7 +51,7 @@ def test_quoted_records_by_splits_of_any_size(spark, tmp_path, size):
 
 
 def test_many_tasks_equal_sparks_reader(spark, tmp_path):
-    text, data = random_csv(7, 2000)
+    text, data = random_csv(7, 800)
     (tmp_path / "one.csv").write_text(text.replace("\n", "\r\n"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
     try:
@@ -62,7 +62,11 @@ def test_many_tasks_equal_sparks_reader(spark, tmp_path):
         want = {int(r["id"]): tuple(v if (v or "").strip() else None for v in (r["first"], r["second"])) for r in want.collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == want and len(got) == len(data)
+    cell = lambda v: v if v.strip() else None
+    rows = list(csv.reader(io.StringIO(text.replace("\n", "\r\n"), newline="")))[1:]
+    assert got == {int(r[0]): tuple(map(cell, r[1:])) for r in rows} and len(got) == len(data)
+    # Spark's reader turns line ends inside quotes into line feeds.
+    assert {k: tuple(v and v.replace("\r\n", "\n") for v in r) for k, r in got.items()} == want
 
 
 def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
