@@ -231,6 +231,38 @@ def test_pca_and_chained_imputation(spark):
     assert np.abs(got - x[:20, 1]).max() < 0.02
 
 
+def test_chained_sums_equal_those_of_rows(spark):
+    """Regressions from sums of patterns equal regressions over the filled rows; where the sums lie does not matter."""
+    from tidemark.operators.chained import _evidence_ridge
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + 50
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names = ["a", "b", "c", "d"]
+    df = frame(spark, x, names).repartition(5)
+    model = fit_chained(df, names, rounds=3, tolerance=0.0)
+    assert model.rounds == 3 and len(model.steps) == 12
+    gaps, full = np.isnan(x), np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    for j, coef, intercept in model.steps:
+        seen, rest = ~gaps[:, j], np.delete(full, j, axis=1)
+        mid, y = rest[seen].mean(axis=0), full[seen, j]
+        z, t = rest[seen] - mid, y - y.mean()
+        want = _evidence_ridge(z.T @ z, z.T @ t, float(t @ t), int(seen.sum()))
+        assert np.allclose(coef, want, atol=1e-7) and abs(intercept - (y.mean() - mid @ want)) < 1e-6
+        full[gaps[:, j], j] = rest[gaps[:, j]] @ want + (y.mean() - mid @ want)
+    assert np.allclose(model.fill(x), full, atol=1e-6)
+    apart = fit_chained(df, names, rounds=3, tolerance=0.0, most_sums=0)
+    assert all(a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-9) for a, b in zip(model.steps, apart.steps))
+
+
+def test_chained_odd_tables(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    assert fit_chained(empty, ["a", "b"]).steps == []
+    hollow = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
+    model = fit_chained(hollow, ["a", "b"])
+    assert {j for j, *_ in model.steps} <= {0} and model.apply(hollow).where("a is null or b is null").count() == 0
+
+
 def test_registry_and_widths(spark):
     assert recipe_names(False) == list(RECIPES)[:6] and recipe_table(spark).count() == 8
     assert [RECIPES["scorched_earth"].output_width(d) for d in (3, 8, 40)] == [3, 5, 5]

@@ -221,16 +221,16 @@ def _knn_parts() -> str:
 
 
 _SMOTE = f"""{with_('accounts', 'accounts')},
-full_rows AS (SELECT c_custkey, label, balance, visits FROM accounts WHERE balance IS NOT NULL AND region_index IS NOT NULL),
+{filled('accounts', ACCOUNTS, 'median({0})', ['c_custkey', 'label'], 'full_rows')},
 sizes AS (SELECT label, count(*) AS size FROM full_rows GROUP BY label),
 ends AS (SELECT max(size) AS largest, greatest(1, least(5, min(size) - 1)) AS k FROM sizes),
 seeds AS (SELECT f.*, s.size, e.largest, e.k, row_number() OVER (PARTITION BY f.label ORDER BY {h52("'42'", 'f.c_custkey')}, f.c_custkey) AS r
   FROM full_rows f JOIN sizes s ON f.label = s.label, ends e WHERE s.size < e.largest),
 copies AS (SELECT *, unnest(range(1, 1 + CAST(floor((largest - size) / size) AS BIGINT) + CASE WHEN r <= (largest - size) % size THEN 1 ELSE 0 END)) AS copy FROM seeds),
-near AS (SELECT a.c_custkey, b.balance, b.visits, row_number() OVER (PARTITION BY a.c_custkey ORDER BY
-  sqrt((a.balance - b.balance) * (a.balance - b.balance) + (a.visits - b.visits) * (a.visits - b.visits)), b.balance, b.visits) - 1 AS place
+near AS (SELECT a.c_custkey, {', '.join('b.' + f for f in ACCOUNTS)}, row_number() OVER (PARTITION BY a.c_custkey ORDER BY
+  sqrt({' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in ACCOUNTS)}), {', '.join('b.' + f for f in ACCOUNTS)}) - 1 AS place
   FROM seeds a JOIN full_rows b ON a.label = b.label AND a.c_custkey <> b.c_custkey)
-SELECT round(c.balance + u * (n.balance - c.balance), 3) AS balance, round(c.visits + u * (n.visits - c.visits), 3) AS visits, c.label
+SELECT {', '.join(f'round(c.{f} + u * (n.{f} - c.{f}), 3) AS {f}' for f in ACCOUNTS)}, c.label
 FROM (SELECT *, {u01("'42'", "'along'", 'c_custkey', 'copy')} AS u,
   floor({u01("'42'", "'neighbour'", 'c_custkey', 'copy')} * k) AS pick FROM copies) c
 JOIN near n ON c.c_custkey = n.c_custkey AND n.place = c.pick"""
@@ -279,11 +279,20 @@ SELECT '{recipe}' AS recipe, (SELECT count(*) FROM accounts) AS input_rows, 5 AS
   {columns} AS output_columns, 0 AS synthetic_rows, (SELECT count(*) FROM accounts) - count(*) AS removed_rows, '{steps}' AS steps FROM kept)"""
 
 
+# Two steps of evidence updates for one slope: it is below the tolerance of 0.001, so the second step is the last.
+_ITERATIVE = f"""{_LINES},
+s AS (SELECT count(*) AS n, avg(price) AS mx, avg(quantity) AS my, regr_sxx(quantity, price) AS xx, regr_sxy(quantity, price) AS xy,
+  regr_syy(quantity, price) AS yy FROM lines WHERE quantity IS NOT NULL),
+first_step AS (SELECT *, n / yy AS noise, xy / (xx + yy / n) AS b FROM s),
+updated AS (SELECT *, noise * xx / (1 + noise * xx) AS gamma, yy - 2 * b * xy + b * b * xx AS rss FROM first_step),
+weights AS (SELECT *, (gamma + 2e-6::DOUBLE) / (b * b + 2e-6::DOUBLE) AS weight, (n - gamma + 2e-6::DOUBLE) / (rss + 2e-6::DOUBLE) AS noise_2 FROM updated),
+slope AS (SELECT xy / (xx + weight / noise_2) AS c, mx, my FROM weights)
+SELECT {', '.join(IDS)}, round(coalesce(quantity, my + c * (price - mx)), 4) AS quantity, round(price, 4) AS price FROM lines, slope"""
 _RETAIN = f"""{_LINE_MEDIAN}, i AS (WITH {iqr_keep('imp', LINES)}, {_GUARD} SELECT count(*) AS k FROM kept),
 z AS (WITH {z_keep('imp', LINES)}, {_GUARD} SELECT count(*) AS k FROM kept), t AS (SELECT count(*) AS n FROM lines)
 SELECT recipe, round(k / n, 4) AS retention, k AS n_after, n FROM (
   SELECT unnest(['phalanx', 'scorched_earth']) AS recipe, k FROM i UNION ALL SELECT 'heavy_cavalry', k FROM z
-  UNION ALL SELECT unnest(['skirmisher', 'guerrilla', 'reconnaissance']), n FROM t), t"""
+  UNION ALL SELECT unnest(['skirmisher', 'guerrilla', 'reconnaissance', 'siege', 'diplomat']), n FROM t), t"""
 
 _NAMES = "['phalanx', 'skirmisher', 'heavy_cavalry', 'guerrilla', 'scorched_earth', 'reconnaissance', 'siege', 'diplomat']"
 _REWARDS = f"""rewards AS (SELECT concat('sig:', l_linenumber % 2) AS signature, ({_NAMES})[CAST(l_suppkey % 8 AS INT) + 1] AS recipe, reward
@@ -422,6 +431,7 @@ SELECT p_partkey, """ + ", ".join(
     "scale_minmax": f"{_LINE_MEDIAN} {scaled('imp', LINES, 'minmax', [*IDS, 'label'])}",
     "scale_robust": f"{_LINE_MEDIAN} {scaled('imp', LINES, 'robust', [*IDS, 'label'])}",
     "oversample_accounts": _SMOTE,
+    "impute_iterative_lines": _ITERATIVE,
     "mutual_info_scores": _MI,
     "enhance_phalanx": f"{_LINE_MEDIAN}, {iqr_keep('imp', LINES)}, {_GUARD}, s AS ({scaled('kept', LINES, 'standard', ['label'])}) SELECT *, 'original' AS _row_origin FROM s",
     "enhance_reconnaissance": f"{_LINES}, {filled('lines', LINES, 'avg({0})', ['label'])} SELECT {rnd(LINES)}, label, 'original' AS _row_origin FROM imp",
@@ -447,7 +457,7 @@ SELECT c_custkey, label FROM r JOIN f USING (label) WHERE n <= 300 OR r <= floor
         f"""round({f} + 0.01::DOUBLE * sqrt(-2 * ln(1 - {u01("'r'", "'42'", "'1'", f"'{f}'", 'c_custkey')})) * cos(2 * pi() * {u01("'a'", "'42'", "'1'", f"'{f}'", 'c_custkey')}), 6) AS {f}"""
         for f in ("visits", "score")
     ) + " FROM accounts",
-    "history_update": f"""WITH {_REWARDS} SELECT signature, recipe, count(*) * CASE WHEN recipe = 'siege' THEN 1 ELSE 2 END AS n,
+    "history_update": f"""WITH {_REWARDS} SELECT signature, recipe, count(*) * CASE WHEN recipe = 'siege' THEN 2 ELSE 3 END AS n,
   round(avg(reward), 8) AS mean FROM rewards GROUP BY signature, recipe""",
     "history_recommend": f"""WITH {_REWARDS} SELECT recipe, round(avg(reward), 4) AS mean_reward, count(*) AS n_runs,
   round(1 - 1 / (1 + count(*)), 3) AS confidence FROM rewards WHERE signature = 'sig:1' GROUP BY recipe""",
