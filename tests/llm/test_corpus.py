@@ -284,6 +284,9 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs, no_labels):
     judged = toxicity.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     held = [(x.predicted, int(x.doc_id % 6 == 0)) for x in judged if x.held_out]
     assert len(held) > 200 and sum(p == y for p, y in held) / len(held) > 0.97
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, bounded = toxicity.fit(docs, table), toxicity.fit(docs, table, most_training=60, few_labels=0)
+    assert (whole.grams == bounded.grams).all()  # n-grams are chosen from all labelled rows, whatever the fit's bound and the join
     alone = toxicity.judge(odd_docs, no_labels).collect()
     assert len(alone) == odd_docs.count() and {x.predicted for x in alone} == {0} and {x.score for x in alone} == {0.5}
     assert toxicity.judge(no_docs, no_labels).count() == 0

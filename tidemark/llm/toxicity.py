@@ -1,8 +1,9 @@
 """Toxicity scores: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Spark counts in how many toxic and other training documents every n-gram of the words occurs, keeps those
-that tell the classes apart best, and scales each by the logarithm of its smoothed ratio. The weights of a logistic
-regression over the scaled presence of these n-grams are fitted on a bounded sample of labelled rows; every document is scored.
+that tell the classes apart best, and scales each by the logarithm of its smoothed ratio. These counts cover all labelled
+rows that are not held out. The weights of a logistic regression over the scaled presence of these n-grams are fitted on a bounded sample
+of them; every document is scored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .joins import attach
 from .scratch import written
 from .words import ragged, slices, split_words, text_array
 
@@ -23,6 +25,8 @@ from .words import ragged, slices, split_words, text_array
 LENGTHS = (3, 4, 5)
 #: About so many labelled rows, chosen by a hash of their id, are fitted on.
 MOST_TRAINING = 40_000
+#: Labels (12 bytes each) up to which they are broadcast to the documents; more are joined by a shuffle.
+FEW_LABELS = 1_000_000
 #: n-grams in the model, and the training documents that must hold one.
 MOST_FEATURES, LEAST_DOCUMENTS = 4096, 5
 _U = np.uint64
@@ -115,8 +119,8 @@ def _fit_weights(features: list[np.ndarray], y: np.ndarray, ratios: np.ndarray,
     return w * ratios, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_training: int = MOST_TRAINING, most_features: int = MOST_FEATURES) -> Model:
-    """A model of ``labels.toxic`` learnt from rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, most_training: int = MOST_TRAINING, most_features: int = MOST_FEATURES, few_labels: int = FEW_LABELS) -> Model:
+    """A model of ``labels.toxic`` learnt from rows that are not held out: n-grams and ratios from all, weights from about ``most_training``.
 
     Rows without a label, text counts as empty where null. Without rows of both classes every text gets the same score,
     the smoothed share of the labels there are (a half if none).
@@ -128,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_training: int = MOST_TRAINING,
     chance = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(chance < most_training / max(1, n))
     train = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-training")
-    seen = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    labelled = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known, "doc_id", few_labels).where("toxic is not null")
+    seen = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = seen.get(1, 0), seen.get(0, 0)
     if not bad or not good:
         return Model(np.zeros(0, _U), np.zeros(0), float(np.log((bad + 1) / (good + 1))))
@@ -144,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_training: int = MOST_TRAINING,
                 names=["gram", "in_bad", "in_good"],
             )
 
-    counts = train.mapInArrow(count, "gram long, in_bad long, in_good long").groupBy("gram").agg(
+    counts = labelled.select("text", "toxic").mapInArrow(count, "gram long, in_bad long, in_good long").groupBy("gram").agg(
         F.sum("in_bad").alias("p"), F.sum("in_good").alias("q")
     ).where(F.col("p") + F.col("q") >= LEAST_DOCUMENTS)
     # Likelihood ratio of class and presence: how much a gram tells.
