@@ -263,6 +263,22 @@ def test_learned_contexts_find_other_forms(spark):
         assert got[i].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_phrases_beyond_the_broadcast_count_alike(spark, monkeypatch, odd_docs):
+    """Contexts tell as much when there are more of them than are broadcast (op7_personal_data, pipeline)."""
+    rows = [(i, f"please dial +1 555 01{i:02d} 23{i:02d} now, it is a note") for i in range(12)]
+    rows += [(100 + i, f"please dial 1 555 07{i:02d} 23{i:02d} now, it is a note") for i in range(5)] + [(200, None), (201, " \n "), (202, "3 cats")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.spans) for r in personal.digests(personal.find(docs)).collect())
+    assert any(spans for i, spans in want if i >= 100)
+    monkeypatch.setattr(personal, "MOST_PHRASES", 0)
+    assert sorted((r.doc_id, r.spans) for r in personal.digests(personal.find(docs)).collect()) == want
+    for table in (docs, odd_docs):
+        phrases = ["please", "dial", "please dial", "it is", "cats", "9 cats", "the quick", "long long", "long", "absent word", "café"]
+        few = personal.phrase_places(table, phrases)
+        many = personal.many_phrase_places(table, spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_wide_mentions_take_no_square_time():
     for bit in ("a", "1", "a at ", "1-", "1 ", "(at)", "a dot ", "1.(", "a.", "1/2 "):
         text = bit * (300_000 // len(bit))

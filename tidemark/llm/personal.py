@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .joins import attach
 from .scratch import written
-from .words import slices, split_words, text_array
+from .words import slices, split_words, text_array, word_keys
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, how sure an instance must be, and the seeds a pattern of words must have seen.
 ROUNDS, SURE, LEAST_SEEDS = 3, 0.9, 3
-#: Share of all places of a context's words that seeds must fill; most phrases sent to all tasks to be counted (by seeds).
+#: Share of all places of a context's words that seeds must fill; phrases up to which they are sent to all tasks to be counted.
 LEAST_SHARE, MOST_PHRASES = 0.05, 1 << 18
+#: Places of the sketch that tells which phrases of a text are worth counting when there are more.
+SKETCH_BITS = 22
 #: Characters on either side in which the words of a context lie.
 WINDOW = 80
 
@@ -188,6 +190,14 @@ def with_mentions(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
+def _plain_words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Plain forms, the form of each word that is not blank in it, and the row of each."""
+    code, ends, distinct = split_words(text_array(batch.column("text")))
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.replace_substring_regex(distinct, "[0-9]", "9")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    some = pc.not_equal(plain, "").to_numpy(zero_copy_only=False)[code]
+    return plain, code[some], np.repeat(np.arange(batch.num_rows), np.diff(ends))[some]
+
+
 def phrase_places(docs: DataFrame, phrases: list[str]) -> DataFrame:
     """phrase and places: how often each of the phrases (one or two words) stands in all texts."""
     words = sorted({w for p in phrases for w in p.split(" ")})
@@ -202,11 +212,8 @@ def phrase_places(docs: DataFrame, phrases: list[str]) -> DataFrame:
         known, codes = shared.value
         total = np.zeros(len(codes), np.int64)
         for batch in slices(batches, "text", 2 << 20):
-            code, ends, distinct = split_words(text_array(batch.column("text")))
-            plain = pc.replace_substring_regex(pc.utf8_lower(pc.replace_substring_regex(distinct, "[0-9]", "9")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-            some = pc.not_equal(plain, "").to_numpy(zero_copy_only=False)[code]
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))[some]
-            at = pc.fill_null(pc.index_in(plain, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code[some]]
+            plain, code, owner = _plain_words(batch)
+            at = pc.fill_null(pc.index_in(plain, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
             pair = (at[:-1] + 1) * (n + 1) + at[1:]
             seen = np.concatenate([at[at >= 0], pair[(at[:-1] >= 0) & (at[1:] >= 0) & (owner[:-1] == owner[1:])]])
             place = np.minimum(np.searchsorted(codes, seen), len(codes) - 1)
@@ -219,6 +226,44 @@ def phrase_places(docs: DataFrame, phrases: list[str]) -> DataFrame:
     return named.join(counted, "code", "left").select("phrase", F.coalesce("places", F.lit(0)).alias("places"))
 
 
+def _sketch_place(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """Place in the sketch of a phrase of words with these keys."""
+    key = first if second is None else (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(1))
+    return ((key * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
+
+
+def many_phrase_places(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """As ``phrase_places``, for a table of any number of phrases: those of the texts that a sketch of the table may hold are counted by a
+    shuffle. The sketch has a fixed size and only spares phrases that are not asked for."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [p.partition(" ")[::2] for p in batch.column("phrase").to_pylist()]
+            first, second = (word_keys(pa.array([p[i] for p in pairs], pa.large_string())) for i in (0, 1))
+            double = np.array([bool(b) for _, b in pairs], bool)
+            place = np.where(double, _sketch_place(first, second), _sketch_place(first, None))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(place))], names=["place"])
+
+    marked = np.zeros(1 << SKETCH_BITS, bool)
+    marked[phrases.select("phrase").mapInArrow(mark, "place int").distinct().toArrow().column("place").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            plain, code, owner = _plain_words(batch)
+            keys, n = word_keys(plain), len(plain)
+            single, times = np.unique(code[shared.value[_sketch_place(keys, None)][code]], return_counts=True)
+            a, b = code[:-1], code[1:]
+            kept = (owner[:-1] == owner[1:]) & shared.value[_sketch_place(keys[a], keys[b])]
+            double, twice = np.unique(a[kept] * n + b[kept], return_counts=True)
+            both = pc.binary_join_element_wise(plain.take(pa.array(double // max(n, 1))), plain.take(pa.array(double % max(n, 1))), pa.scalar(" ", pa.large_string()))
+            found = pa.concat_arrays([plain.take(pa.array(single)), both]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([found, pa.array(np.concatenate([times, twice]).astype(np.int64))], names=["phrase", "n"])
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("places"))
+    return phrases.select("phrase").join(counted, "phrase", "left").select("phrase", F.coalesce("places", F.lit(0)).alias("places"))
+
+
 def _telling(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """The context patterns whose words mostly mean the kind: seeds fill at least ``LEAST_SHARE`` of the phrase's places."""
     contexts = written(
@@ -226,13 +271,15 @@ def _telling(edges: DataFrame, docs: DataFrame) -> DataFrame:
             F.sum(F.col("here").cast("long")).alias("seeds"), F.sum(F.when(F.col("here"), F.col("n")).otherwise(0)).alias("filled")
         ).where(F.col("seeds") >= LEAST_SEEDS), "contexts",
     )
-    phrases, least = contexts.groupBy("phrase").agg(F.max("seeds").alias("seeds")), LEAST_SEEDS
-    while phrases.where(F.col("seeds") >= least).count() > MOST_PHRASES:
-        least *= 2
-    phrases = [r["phrase"] for r in phrases.where(F.col("seeds") >= least).select("phrase").collect()]
-    if not phrases:
+    phrases = written(contexts.select("phrase").distinct(), "phrases")
+    n = phrases.count()
+    if not n:
         return contexts.select("pattern").where("false")
-    places = written(phrase_places(docs, phrases), "places")
+    if n <= MOST_PHRASES:
+        places = phrase_places(docs, [r["phrase"] for r in phrases.collect()])
+    else:
+        places = many_phrase_places(docs, phrases)
+    places = written(places, "places")
     return contexts.join(places, "phrase").where(F.col("filled") >= LEAST_SHARE * F.col("places")).select("pattern")
 
 
