@@ -9,7 +9,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tidemark.llm import sentence_pieces, token_files  # noqa: E402
-from tidemark.llm.words import CodedWords  # noqa: E402
+from tidemark.llm.words import CodedWords, forget_worker_state, worker_state  # noqa: E402
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = [
@@ -118,3 +118,14 @@ def test_coded_documents(spark, odd_docs, no_docs):
     for r in rows:
         assert r.ids == library.encode(r.text or "") and r.decoded == library.decode(r.ids)
     assert sentence_pieces.encode_decode(no_docs, PIECES).count() == 0
+
+
+def test_a_worker_that_reads_files_holds_no_words():
+    """op10_token_files reads in workers that have coded before."""
+    made = []
+    worker_state("token-files x", lambda: made.append(1) or CodedWords(None))
+    forget_worker_state()
+    worker_state("token-files x", lambda: made.append(1) or CodedWords(None))
+    forget_worker_state()
+    forget_worker_state()
+    assert len(made) == 2

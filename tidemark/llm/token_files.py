@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .scratch import new_path, written
-from .words import CodedWords, ids_of_words, slices, split_words, text_array, worker_state
+from .words import CodedWords, forget_worker_state, ids_of_words, slices, split_words, text_array, worker_state
 
 BLOCK = 1024
 _LANES = 32
@@ -264,6 +264,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     listed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_worker_state()  # the tokenizer and its words would stay in the worker beside what is read
         store, _ = fs.FileSystem.from_uri(folder)
         for frame in frames:
             for path, base in zip(frame["path"], frame["base"]):
