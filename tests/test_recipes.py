@@ -2,16 +2,18 @@
 
 import math
 import os
+import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.chained import fit_chained
 from tidemark.operators.mutual_info import mutual_information
 from tidemark.operators.neighbours import knn_impute, nearest
-from tidemark.operators import quantiles, repair
+from tidemark.operators import neighbours, quantiles, repair
 from tidemark.operators.counts import distinct_counts
 from tidemark.operators.profile import profile
 from tidemark.operators.quantiles import exact_quantiles, spreads
@@ -196,6 +198,39 @@ def test_neighbours_with_gaps_visit_few_pairs(spark):
             assert np.allclose(mine, want, atol=1e-9) if want else not mine
 
 
+def test_block_search_holds_little():
+    """A full task of queries against a full block, in a small part of the memory of all candidates, also when all distances tie."""
+    rng = np.random.default_rng(4)
+    for donors, asked in [(rng.random((8192, 3)), rng.random((15_000, 3))), (np.unique(rng.integers(0, 25, (8192, 3)), axis=0).astype(float), rng.random((4000, 3)).round())]:
+        asked[:, 1] = np.nan
+        grids = [np.linspace(donors[:, j].min(), donors[:, j].max(), 1022) for j in range(3)]
+        vectors = lambda m: pa.array([[None if v != v else v for v in r] for r in m.tolist()], pa.list_(pa.float64()))
+        search = neighbours._searcher(3, 5, True, grids, None)
+        queries = pa.table({"qid": np.arange(len(asked)), "vec": vectors(asked), "reach": np.full(len(asked), np.inf)})
+        block = pa.table({"vec": vectors(donors), "mult": np.ones(len(donors), np.int64)})
+        tracemalloc.start()
+        found = search(queries, block).to_pydict()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 120 << 20
+        got = {}
+        for i, dist, hit in zip(found["qid"], found["dist"], found["hit"]):
+            got.setdefault(i, []).append((round(dist, 9), hit[0]))
+        for i in range(0, len(asked), 500):
+            dist = np.sqrt(1.5 * ((donors[:, [0, 2]] - asked[i, [0, 2]]) ** 2).sum(1)).round(9)
+            assert sorted(got[i]) == sorted(zip(dist, donors[:, 1]))[:5]
+
+
+def test_block_searches_are_dealt_to_many_tasks(spark):
+    """Few bytes, but much work: eight blocks are not left to one task."""
+    pool = spark.range(64).select((F.col("id") % 8).alias("block"), F.array(F.col("id").cast("double")).alias("vec"), F.lit(1).cast("long").alias("mult"))
+    asked = spark.range(16).select(F.col("id").alias("qid"), (F.col("id") % 2).alias("qblock"), F.array(F.col("id") + 0.5).alias("vec"))
+    visits = spark.range(2).select(F.col("id").alias("qblock")).crossJoin(spark.range(8).select(F.col("id").alias("block")))
+    found = neighbours._search(visits, asked, pool, None, 1, 2, False, [np.arange(64.0)], None)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 3 and sum(r["count"] for r in tasks) == 16 * 8 * 2
+
+
 def test_oversampling_counts_and_segments(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 2))
