@@ -480,3 +480,19 @@ def test_copies_are_found_by_digest(spark, monkeypatch):
         assert kept.columns == df.columns
         first = df.groupBy("a", "b", "c").agg(F.min("id").alias("id")).select("a", "b", "c", "id")
         assert sorted(map(repr, plain(kept).collect())) == sorted(map(repr, plain(first).collect()))
+
+
+def test_scoring_ranks_the_rows_once(spark):
+    """What makes the folds runs once, however many jobs read them."""
+    x = np.random.default_rng(2).normal(size=(60, 2))
+    df = frame(spark, x, ["a", "b"], extra=["u" if v > 0 else "v" for v in x[:, 0]])
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    folded = stratified_folds(df, "label", ["id"]).withColumn("a", counted("a"))
+    rows = score_recipes(folded, ["a", "b"], "label", ["phalanx", "reconnaissance"], "logreg", ["id"]).collect()
+    assert [r["error"] for r in rows] == [""] * 6 and seen.value == 60
