@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tidemark.plans import catalogue
 from tidemark.sources import csv as source
 from tidemark.sources.csv import CsvError, ends_inside, quoted_records, read_csv_multiline
 
@@ -93,3 +94,18 @@ def test_splits_that_begin_inside_quotes_beyond_the_broadcast(spark, tmp_path, m
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert "\n".join(r["line"] for r in own) + "\n" == text
+
+
+def test_csv_queries_over_many_files(spark, tmp_path, monkeypatch):
+    """csv_files and csv_file_rejects write files of bounded size, with the same rows; repairs run once for counts, types and results."""
+    orders = spark.range(1, 1500).selectExpr(
+        "id o_orderkey", "id % 90 o_custkey", "'O' o_orderstatus", "concat(id % 5, '-P') o_orderpriority"
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = []
+    for rows in (10_000, 100):
+        monkeypatch.setattr(catalogue, "CSV_FILE_ROWS", rows)
+        files = spark.read.text(catalogue._csv_folder(spark, str(tmp_path))).select("_metadata.file_path").distinct().count()
+        assert files == 3 * -(-1499 // (3 * rows))
+        found.append([sorted(map(tuple, q(spark, str(tmp_path)).collect()), key=str) for q in (catalogue.csv_files, catalogue.csv_file_rejects)])
+    assert found[0] == found[1] and len(found[0][0]) + len(found[0][1]) == 1499 and found[0][1]

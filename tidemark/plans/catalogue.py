@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -41,6 +42,7 @@ LINE_FEATURES = ["quantity", "price", "discount", "tax"]
 LINE_IDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 ACCOUNT_FEATURES = ["balance", "region_index", "visits", "score"]
 PART_FEATURES = ["size", "price", "weight"]
+CSV_FILE_ROWS = 250_000     # records of a CSV file that a query writes for itself, about
 CSV_HEADER = ["order_key", "order_date", "status", "priority", "customer"]
 
 
@@ -515,13 +517,20 @@ def _new_folder(spark, label):
 
 
 def _csv_folder(spark, d):
-    """The orders as three CSV files: notes with line breaks and quotes, dates split by a comma, lines beyond repair, one file with another order of columns."""
+    """The orders as CSV files of three kinds: notes with line breaks and quotes, dates split by a comma, lines beyond repair, one kind with another order of columns.
+
+    A kind is one file, or several of about ``CSV_FILE_ROWS`` records, so that no task writes a third of all orders.
+    """
     table(spark, d, "orders").createOrReplaceTempView("orders")
     lines = spark.sql(CSV_FILE_LINES)
-    heads = spark.createDataFrame([(pid, -1, CSV_FILE_HEADS[pid]) for pid in range(3)], "pid long, o_orderkey long, line string")
+    files = math.ceil(lines.count() / (3 * CSV_FILE_ROWS)) or 1
+    lines = lines.select("pid", F.pmod(F.xxhash64("o_orderkey"), F.lit(files)).cast("int").alias("file"), "o_orderkey", "line")
+    heads = spark.createDataFrame(
+        [(pid, file, -1, CSV_FILE_HEADS[pid]) for pid in range(3) for file in range(files)], "pid long, file int, o_orderkey long, line string"
+    )
     path = _new_folder(spark, "csv-files")
-    rows = lines.select("pid", "o_orderkey", "line").unionByName(heads).repartition("pid").sortWithinPartitions("pid", "o_orderkey")
-    rows.select("pid", "line").write.partitionBy("pid").text(path)
+    rows = lines.unionByName(heads).repartition(3 * files, "pid", "file").sortWithinPartitions("pid", "file", "o_orderkey")
+    rows.select("pid", "file", "line").write.partitionBy("pid", "file").text(path)
     return path
 
 

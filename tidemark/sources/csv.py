@@ -27,6 +27,8 @@ _INSIDE = re.compile(r'[^"]*+(?:""[^"]*+)*+')
 
 #: Splits that begin inside quotes, up to which they are broadcast.
 FEW_SPLITS = 1_000_000
+#: Files up to which their headers are broadcast.
+FEW_FILES = 100_000
 #: A record longer than this (characters) means a quote that is never closed.
 LONGEST_RECORD = 1 << 28
 
@@ -242,8 +244,11 @@ def _read(spark: SparkSession, records: DataFrame, keep_padded: bool, fail_on_re
     heads = records.where(F.col("_start") == 0).groupBy("_file").agg(F.min("_row_id").alias("_head"), F.min_by("line", "_row_id").alias("line"))
     heads = materialise(heads, "csv-heads")
     files, header = _headers(spark, heads.select("_file", "line"))
-    body = records.join(files.join(heads.select("_file", "_head"), "_file"), "_file").where(F.col("_row_id") != F.col("_head"))
-    fixed = _repaired(body.select("_file", "_row_id", "line", "_header"), files)
+    told = files.join(heads.select("_file", "_head"), "_file")
+    told = F.broadcast(told) if heads.count() <= FEW_FILES else told
+    body = records.join(told, "_file").where(F.col("_row_id") != F.col("_head"))
+    # Counts, types, table and rejects all read the repaired rows.
+    fixed = materialise(_repaired(body.select("_file", "_row_id", "line", "_header"), files), "csv-repaired")
     return _result(fixed, header, keep_padded, fail_on_reject)
 
 
