@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import coerce_numeric, parse_mixed_date, title_case
+from tidemark.functions.scalars import coerce_numeric, parse_mixed_date, strip, title_case
 from tidemark.operators.clean import clean
 from tidemark.operators.profile import profile
-from tidemark.operators.repair import structural_repair
+from tidemark.operators import repair
+from tidemark.operators.repair import structural_repair, trim_and_null, without_copies
 from tidemark.operators.roles import infer_roles
 from tidemark.plans.cleaning_plan import apply_plan, build_plan, export, fit_plan
 from tidemark.sources.csv import CsvError, normalise_header, preview, read_csv_multiline, read_csv_repaired
@@ -205,3 +206,41 @@ def test_rare_and_unseen_levels(spark):
     fresh = spark.createDataFrame([(1, "common"), (2, "rare100"), (3, "never"), (4, None)], "id long, kind string")
     got = {r["id"]: (r["kind_common"], r["kind_infrequent"]) for r in apply_plan(fresh, fitted, ["id"]).collect()}
     assert got == {1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0), 4: (1.0, 0.0)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_takes_every_unicode_space_without_a_pattern(spark):
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    rows = [(f"{a}x{a}y{a}{a}",) for a in spaces] + [("".join(spaces),), ("",), (None,), ("\u200bx\u180e",), (" \u00e9\u6f22 \U0001f600\n",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r[0] for r in df.select(strip(F.col("t"))).collect()]
+    old = [r[0] for r in df.select(F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).collect()]
+    assert got == old and got[0] == f"x{spaces[0]}y"
+    assert "regexp_replace" not in _plan(df.select(strip(F.col("t"))))
+
+
+def test_numbers_and_dates_of_plain_form_equal_the_general_rules(spark):
+    cells = {
+        "12": 12.0, "-0": -0.0, "+7.": 7.0, "007.50": 7.5, "1-2": None, "5 -3": None, "1e-5": 1e-5, "1e -5": 1e-5, "12\n": 12.0,
+        "F": None, "i n f": float("inf"), "INFINITY": float("inf"), "$-4": -4.0, "($5)": -5.0, "$(5)": 5.0, ".5": 0.5, "1.2.3": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "t string")
+    assert [r[0] for r in df.select(coerce_numeric(F.col("t"))).collect()] == list(cells.values())
+    days = {
+        "2024-02-30": None, "2024-13-05": "2024-05-13", "2024/02/29": "2024-02-29", "31.12.1999": "1999-12-31", "02-28-2023": "2023-02-28",
+        "05 06 2020": "2020-06-05", "0000-01-01": "0000-01-01", "13-13-2020": None, " 2024-01-02": "2024-01-02", "2024-01-02\n": "2024-01-02",
+    }
+    df = spark.createDataFrame([(c,) for c in days], "t string")
+    assert [r[0] for r in df.select(parse_mixed_date(F.col("t")).cast("date").cast("string")).collect()] == list(days.values())
+
+
+def test_rows_without_copies_are_made_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(repair, "materialise", lambda df, label, real=repair.materialise: written.append(label) or real(df, label))
+    df = spark.createDataFrame([(" a", 1), ("a", 1), ("b", 2), (None, 2)], "t string, n int")
+    kept = without_copies(trim_and_null(df))
+    assert sorted(map(tuple, kept.collect()), key=str) == [("a", 1), ("b", 2), (None, 2)]
+    assert written == ["marked", "copied"] and "trim" not in _plan(kept)

@@ -8,7 +8,11 @@ from pyspark.sql import Column, functions as F, types as T
 
 from . import words
 
-_SPACE = r"[\s\x1c-\x1f]"
+# Every character that Java's (?U)\s matches, and the four ASCII separators.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def q(name: str) -> Column:
@@ -17,8 +21,11 @@ def q(name: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim all Unicode whitespace (SQL ``trim`` removes spaces only)."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Trim all Unicode whitespace (SQL ``trim`` removes spaces only).
+
+    A pattern would be tried at every place of every cell.
+    """
+    return F.trim(text, F.lit(_SPACES))
 
 
 def strict_number(text: Column) -> Column:
@@ -29,19 +36,28 @@ def strict_number(text: Column) -> Column:
     return F.when(text.rlike(rf"(?U)^\s*{words.NUMBER}\s*$"), text.try_cast("double"))
 
 
+def starts_within(text: Column, first: str, after: str) -> Column:
+    """Whether the first character is from ``first`` on and before ``after``: a comparison, far cheaper than a pattern."""
+    return (text >= F.lit(first)) & (text < F.lit(after))
+
+
 def coerce_numeric(text: Column) -> Column:
     """Number text with currency signs, thousands commas or accounting brackets.
 
     The sign is taken from brackets around the *original* text, so ``($5)`` is
-    -5 while ``$(5)`` is +5. The leading anchored pattern rejects ordinary words
-    at their first letter, so long texts cost next to nothing.
+    -5 while ``$(5)`` is +5. Ordinary words are rejected at their first letter, so
+    long texts cost next to nothing, and plain numbers are read as they are.
     """
+    plain = starts_within(text, "0", ":") & text.rlike(r"^[0-9]+\.?[0-9]*\z")
+    word = starts_within(text, "A", "I") | starts_within(text, "J", "i") | starts_within(text, "j", "{")  # but for ``inf``
     bare = F.regexp_replace(text, r"(?U)[$€£¥,\s]", "")
     value = F.when(
         bare.rlike(rf"^(\({words.NUMBER}\)|{words.NUMBER})$"), F.translate(bare, "()", "").try_cast("double")
     )
     sign = F.when(text.rlike(r"(?U)^\s*\(.*\)\s*$"), -1.0).otherwise(1.0)
-    return F.when(text.rlike(r"(?U)^[-+$€£¥,\s().0-9eEinftyINFTY]+$"), sign * value)
+    # A sign after a digit (most dates): no number, whatever is taken out.
+    spelt = ~word & ~text.rlike("[0-9][-+]") & text.rlike(r"(?U)^[-+$€£¥,\s().0-9eEinftyINFTY]+$")
+    return F.when(plain, text.try_cast("double")).when(spelt, sign * value)
 
 
 def title_case(text: Column) -> Column:
@@ -113,17 +129,33 @@ def _build_date(a: Column) -> Column:
     return let(F.array(number(0), F.coalesce(number(1), word), number(2), number(3), number(4)), build)
 
 
+def _fixed_date(t: Column, year: int, month: int, day: int) -> Column:
+    """Date of a text with its parts at fixed places, month and day swapped where only that can be meant."""
+    part = lambda at, n: F.substring(t, at, n).try_cast("int")
+    m, d, zero = part(month, 2), part(day, 2), F.lit(0)
+    swap = (m > 12) & (d <= 12)
+    return F.try_make_timestamp_ntz(
+        part(year, 4), F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d), zero, zero, zero.cast(T.DecimalType(16, 6))
+    )
+
+
 def parse_mixed_date(text: Column) -> Column:
     """Date text in mixed layouts, day first, to ``timestamp_ntz``; else NULL.
 
     Pattern guards rewrite each layout to one order before a single
     ``try_make_timestamp_ntz``; a chain of ``try_to_timestamp`` formats would pay
     an exception per failed format and cell. Two-digit years mean 1970-2069, and a
-    bare time of day is not a date, so no result depends on the clock.
+    bare time of day is not a date, so no result depends on the clock. The two
+    commonest layouts, of ten characters, are cut at their places instead.
     """
     canonical = let(strip(text), _canonical_date)
     parsed = let(F.split(canonical, r"\|"), _build_date)
-    return F.when(text.rlike(r"(?U)^\s*[0-9A-Za-z][0-9A-Za-z:., /+-]{5,39}\s*$"), parsed)
+    ten = starts_within(text, "0", ":") & (F.octet_length(text) == 10)
+    return (
+        F.when(ten & text.rlike(r"^[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}\z"), _fixed_date(text, 1, 6, 9))
+        .when(ten & text.rlike(r"^[0-9]{2}[-/. ][0-9]{2}[-/. ][0-9]{4}\z"), _fixed_date(text, 7, 4, 1))
+        .when(text.rlike(r"(?U)^\s*[0-9A-Za-z][0-9A-Za-z:., /+-]{5,39}\s*$"), parsed)
+    )
 
 
 def hash52(*parts) -> Column:

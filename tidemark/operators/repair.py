@@ -8,7 +8,7 @@ from ..functions import words
 from ..functions.scalars import coerce_numeric, parse_mixed_date, q, strip
 from ..session import is_text, materialise, on_entry
 from .counts import row_digest
-from .roles import column_facts, decide_role
+from .roles import _CHUNK, column_facts, decide_role
 
 LOG_SCHEMA = (
     "step string, detail string, rows_before bigint, rows_after bigint, cols_before int, cols_after int"
@@ -35,29 +35,32 @@ def trim_and_null(df: DataFrame) -> DataFrame:
 
 
 def _text_counts(df: DataFrame) -> tuple[int, int, int, dict[str, tuple]]:
-    """Rows, trimmed cells, sentinel cells and (present, min, max) per column: one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    cols, trimmed, words_ = [], [], []
-    for i, f in enumerate(df.schema.fields):
-        if is_text(f.dataType):
-            t = strip(q(f.name))
-            cols += [
-                F.when(~missing_word(t), t).alias(f"c{i}"),
-                (t != q(f.name)).alias(f"t{i}"),
-                missing_word(t).alias(f"w{i}"),
+    """Rows, trimmed cells, sentinel cells and (present, constant) per column: one aggregate per 5 columns."""
+    n, trimmed, nulled, per = 0, 0, 0, {}
+    for start in range(0, max(1, len(df.columns)), _CHUNK):
+        aggs = [F.count(F.lit(1)).alias("n")]
+        cols, fields = [], df.schema.fields[start : start + _CHUNK]
+        for i, f in enumerate(fields):
+            if is_text(f.dataType):
+                t = strip(q(f.name))
+                cols += [
+                    F.when(~missing_word(t), t).alias(f"c{i}"),
+                    (t != q(f.name)).alias(f"t{i}"),
+                    missing_word(t).alias(f"w{i}"),
+                ]
+                aggs += [F.count_if(f"t{i}").alias(f"trim{i}"), F.count_if(f"w{i}").alias(f"word{i}")]
+            else:
+                cols.append(q(f.name).alias(f"c{i}"))
+            aggs += [
+                F.count(f"c{i}").alias(f"present{i}"),
+                (F.min(f"c{i}") == F.max(f"c{i}")).alias(f"constant{i}"),
             ]
-            aggs += [F.count_if(f"t{i}").alias(f"trim{i}"), F.count_if(f"w{i}").alias(f"word{i}")]
-            trimmed.append(f"trim{i}")
-            words_.append(f"word{i}")
-        else:
-            cols.append(q(f.name).alias(f"c{i}"))
-        aggs += [
-            F.count(f"c{i}").alias(f"present{i}"),
-            (F.min(f"c{i}") == F.max(f"c{i}")).alias(f"constant{i}"),
-        ]
-    row = df.select(*cols).agg(*aggs).first().asDict()
-    per = {f.name: (row[f"present{i}"], row[f"constant{i}"]) for i, f in enumerate(df.schema.fields)}
-    return row["n"], sum(row[k] for k in trimmed), sum(row[k] for k in words_), per
+        row = df.select(*cols).agg(*aggs).first().asDict()
+        n = row["n"]
+        trimmed += sum(row.get(f"trim{i}", 0) for i in range(len(fields)))
+        nulled += sum(row.get(f"word{i}", 0) for i in range(len(fields)))
+        per |= {f.name: (row[f"present{i}"], row[f"constant{i}"]) for i, f in enumerate(fields)}
+    return n, trimmed, nulled, per
 
 
 def cast_to_roles(df: DataFrame, keep_apart: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -99,11 +102,11 @@ def without_copies(df: DataFrame, keep_apart: list[str] | None = None) -> DataFr
     """One row of each set of equal rows; of ``keep_apart`` columns, which do not take part in the test, the least values stay.
 
     Only the 128-bit digests of rows are shuffled. Rows whose digest occurs once stay where they are; the others meet and are
-    compared cell by cell.
+    compared cell by cell. Rows and digests are written once, as three passes read them and each would make all cells anew.
     """
     keep_apart = keep_apart or []
     names = [c for c in df.columns if c not in keep_apart]
-    marked = df.withColumn("__digest", F.unhex(row_digest(df.select(*[q(c) for c in names]))))
+    marked = materialise(df.withColumn("__digest", F.unhex(row_digest(df.select(*[q(c) for c in names])))), "marked")
     seen = marked.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__digest")
     seen = materialise(seen, "copied")
     seen = F.broadcast(seen) if seen.count() <= FEW_DIGESTS else seen
