@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import coerce_numeric, parse_mixed_date, strip, title_case
+from tidemark.operators import clean as cleaning
 from tidemark.operators.clean import clean
 from tidemark.operators.profile import profile
 from tidemark.operators import repair
@@ -244,3 +245,13 @@ def test_rows_without_copies_are_made_once(spark, monkeypatch):
     kept = without_copies(trim_and_null(df))
     assert sorted(map(tuple, kept.collect()), key=str) == [("a", 1), ("b", 2), (None, 2)]
     assert written == ["marked", "copied"] and "trim" not in _plan(kept)
+
+
+def test_clean_fills_from_standard_forms_that_are_made_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(cleaning, "fill_missing", lambda df, apart, real=cleaning.fill_missing: plans.append(_plan(df)) or real(df, apart))
+    rows = [(i, f"ann o'neil{i % 7}", "Jan-5-2024" if i % 3 else "1700-02-03", None if i == 4 else f"{i}.5") for i in range(30)]
+    done = clean(spark.createDataFrame(rows, "k int, full_name string, signup_date string, unit_price string"))
+    assert "regexp" not in plans[0] and "rlike" not in plans[0].lower()
+    got = {r["signup_date"] for r in done.table.collect()}
+    assert got == {"2024-01-05", "1700-02-03"} and done.table.where("full_name like 'Ann O\\'Neil%'").count() == 30

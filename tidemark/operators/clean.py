@@ -103,7 +103,8 @@ def clean(df: DataFrame, keep_apart: list[str] | None = None, parse_steps: list[
     measuring = pool.submit(profile, data)   # needs only the input
     repaired, log = repair_with_log(df, keep_apart=keep_apart)
     tidy, semantic = standardise(repaired.drop(*keep_apart)) if not keep_apart else _apart(repaired, keep_apart)
-    filled, _, missing = fill_missing(tidy, keep_apart)
+    # Gaps, roles, medians, modes and the result each read it, and would parse every cell anew.
+    filled, _, missing = fill_missing(materialise(tidy, "tidy"), keep_apart)
     table = materialise(iso_dates(filled), "cleaned")
     after = profile(table.drop(*keep_apart))
     before = measuring.result()
