@@ -9,20 +9,24 @@ packed values, and a list of the exceptions with their places.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .scratch import new_path, written
-from .words import CodedWords, forget_worker_state, ids_of_words, slices, split_words, text_array, worker_state
+from .words import CodedWords, forget_worker_state, ids_of_words, ragged, slices, split_words, text_array, worker_state
 
 BLOCK = 1024
 _LANES = 32
@@ -31,6 +35,7 @@ _TAIL = "<QQQQ8s"
 _MAGIC = b"PFORIDS1"
 _CHUNK = 512  # blocks packed or unpacked at once
 _WORDS = 2000  # words coded by one call of the tokenizer
+PIECE_BYTES = 16 << 20  # of pieces of words that a worker remembers
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -178,16 +183,51 @@ def read_documents(
             held, first, done = held[cut:], first + cut, upto
 
 
+# What a tokenizer must say of itself for its plain words to be cut here: the cut below equals these rules on these letters.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    }},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+| ")  # a space parts words
+_MARK = "<|"  # words with it may hold a special token
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip([*shown, *(b for b in range(256) if b not in shown)], [*shown, *range(256, 512)]))
+
+
+def _cut_alike(tokenizer) -> bool:
+    told = json.loads(tokenizer.to_str())
+    return (
+        told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _SPLITTER
+        and all(_MARK in t["content"] for t in told["added_tokens"])
+    )
+
+
 def _word_coder(path: str) -> CodedWords:
+    """Ids of words by the tokenizer.
+
+    Most of a call is spent on the offsets and parts that it keeps of each word. So plain words are cut into their pieces here, and the
+    tokenizer's model codes each distinct piece once; all other words are coded by the tokenizer as they are.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, _byte_letters()
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), _WORDS):  # one call for many words costs less than a result for each
             own = words[at : at + _WORDS]
             found = tokenizer.encode(own, is_pretokenized=True, add_special_tokens=False)
@@ -195,7 +235,41 @@ def _word_coder(path: str) -> CodedWords:
             counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    return CodedWords(encode)
+    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [
+            [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))] for p in pieces
+        ]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    if not _cut_alike(tokenizer):
+        return CodedWords(encode)
+    known = CodedWords(encode_pieces, PIECE_BYTES)
+
+    def encode_plain(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        coded = pa.array(_PIECES.findall(" ".join(words).lower()), pa.large_string()).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        space = pc.index(distinct, " ").as_py()
+        word = np.cumsum(codes == space)[codes != space]
+        flat, starts, counts = known.lookup(distinct)
+        codes = codes[codes != space]
+        n_ids = np.bincount(word, counts[codes], len(words)).astype(np.int64)
+        return flat[ragged(starts[codes], counts[codes])], n_ids
+
+    def encode_mixed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.array(words, pa.large_string())
+        plain = pc.and_not(pc.match_substring_regex(column, _PLAIN), pc.match_substring(column, _MARK)).to_numpy(zero_copy_only=False)
+        where = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        coded = [f([words[i] for i in at]) for f, at in zip((encode_plain, encode), where)]
+        counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        base = 0
+        for at, (ids, n_ids) in zip(where, coded):
+            counts[at], starts[at] = n_ids, base + np.cumsum(n_ids) - n_ids
+            base += len(ids)
+        return np.concatenate([ids for ids, _ in coded])[ragged(starts, counts)], counts
+
+    return CodedWords(encode_mixed)
 
 
 def encode_texts(texts: pa.Array, model: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
