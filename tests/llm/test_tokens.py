@@ -9,7 +9,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tidemark.llm import sentence_pieces, token_files  # noqa: E402
-from tidemark.llm.words import CodedWords, forget_worker_state, worker_state  # noqa: E402
+from tidemark.llm.words import CodedWords, forget_worker_state, slices, worker_state  # noqa: E402
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = [
@@ -153,3 +153,49 @@ def test_a_worker_that_reads_files_holds_no_words():
     forget_worker_state()
     forget_worker_state()
     assert len(made) == 2
+
+
+def most_bytes(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_working_space_of_coding():
+    """pipeline (token-ids): two workers and their executor took more than its memory, as a task's 2 MB of texts took 164 MB of arrays."""
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [" ".join("".join(r.choices(letters, k=r.randint(2, 12))) for _ in range(1000)) for _ in range(250)]
+    coder = sentence_pieces.PieceCoder(PIECES)
+    coded = []
+    assert most_bytes(lambda: coded.append(coder.encode_texts(pa.array(docs, pa.large_string())))) < 100 << 20
+    assert most_bytes(lambda: coder.pieces.decode(*coded[0])) < 20 << 20
+    assert coder.pieces.decode(*coded[0]).to_pylist() == docs
+
+
+def test_working_space_of_a_full_memory():
+    """pipeline (token-ids): joining what is remembered took three times its room."""
+    encode = lambda words: (np.zeros(4 * len(words), np.int32), np.full(len(words), 4))
+    memory = CodedWords(encode, room=8 << 20)
+
+    def fill():
+        for i in range(60):
+            memory.lookup(pa.array([f"word {i} {j}" for j in range(4000)], pa.large_string()))
+
+    assert most_bytes(fill) < 22 << 20
+
+
+def test_other_steps_drop_what_a_worker_holds():
+    """pipeline: workers kept the coder and its words beside the steps that follow."""
+    rows = pa.record_batch({"text": ["a", None]})
+    worker_state("sentence-pieces x", lambda: "coder")
+    assert next(slices(iter([rows]), "text", state="sentence-pieces x")).num_rows == 2
+    assert worker_state("sentence-pieces x", lambda: "made again") == "coder"
+    assert next(slices(iter([rows]), "text")).num_rows == 2
+    assert worker_state("sentence-pieces x", lambda: "made again") == "made again"
+    forget_worker_state()

@@ -18,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .words import CodedWords, ids_of_words, ragged, slices, text_array, worker_state
+from .words import CodedWords, blocks, give_back, ids_of_words, slices, text_array, worker_state
 
 SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
+#: Text bytes that a task codes at once: the arrays of a slice take some 40 times as much.
+_SLICE = 1 << 19
 _CUT_EVERY = 8  # rounds from one search for finished parts of long words to the next
 
 
@@ -57,9 +59,7 @@ class Pieces:
             else:
                 spelt = b"" if special[i] else p.replace(SPACE, " ").encode()
             bytes_of.append(spelt)
-        self.spelt = np.frombuffer(b"".join(bytes_of), np.uint8)
-        self.spelt_size = np.fromiter(map(len, bytes_of), np.int64, n)
-        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
+        self.spelt = pa.array(bytes_of, pa.large_binary())
         # Symbols are pieces, then characters that occur in pieces only, then any other character.
         symbol = dict(plain)
         for c in sorted({c for p in plain for c in p} - plain.keys()):
@@ -97,6 +97,10 @@ class Pieces:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end and the number of ids of each; blanks count as the space mark."""
+        done = [self._encode(words[lo:hi]) for lo, hi in blocks(np.fromiter(map(len, words), np.int64, len(words)))]
+        return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in done]]), np.concatenate([np.zeros(0, np.int64), *[n for _, n in done]])
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         text[text == 0x20] = ord(SPACE)
         at = np.minimum(np.searchsorted(self.chars, text), len(self.chars) - 1)
@@ -217,13 +221,13 @@ class Pieces:
 
     def decode(self, flat: np.ndarray, starts: np.ndarray) -> pa.Array:
         """The texts of ids that ``encode_texts`` gave, without the space put before each."""
-        sizes = self.spelt_size[flat]
-        data = self.spelt[ragged(self.spelt_at[flat], sizes)]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[starts]
+        _, offsets, data = self.spelt.take(pa.array(flat)).buffers()  # the pieces end to end
+        bounds = np.frombuffer(offsets, np.int64)[starts] if len(flat) else np.zeros(len(starts), np.int64)
+        data = np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.zeros(0, np.uint8)
         spaced = (np.diff(bounds) > 0) & (data[np.minimum(bounds[:-1], max(len(data) - 1, 0))] == 0x20) if len(data) else np.zeros(len(starts) - 1, bool)
         stay = np.ones(len(data), bool)
         stay[bounds[:-1][spaced]] = False
-        bounds = np.concatenate([[0], np.cumsum(stay)])[bounds]
+        bounds = bounds - np.concatenate([[0], np.cumsum(spaced)])
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[stay])])
         try:
             return found.cast(pa.large_string()).cast(pa.string())
@@ -273,8 +277,12 @@ class PieceCoder:
         )
 
 
+def _state(model: str) -> str:
+    return f"sentence-pieces {model}"
+
+
 def coder(model: str) -> PieceCoder:
-    return worker_state(f"sentence-pieces {model}", lambda: PieceCoder(model))
+    return worker_state(_state(model), lambda: PieceCoder(model))
 
 
 def encode_decode(docs: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -292,11 +300,13 @@ def encode_decode(docs: DataFrame, model: str, ids: str = "ids", decoded: str =
     at = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", _SLICE, _state(model)):
             own = coder(model)
             flat, starts = own.encode_texts(text_array(batch.column(at)))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
             texts = own.pieces.decode(flat, starts)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], names=[*batch.schema.names, ids, decoded])
+            del flat, starts, lists, texts
+            give_back()
 
     return docs.select(*[F.col(f"`{f.name.replace('`', '``')}`") for f in kept]).mapInArrow(run, schema)

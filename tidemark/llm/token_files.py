@@ -272,13 +272,17 @@ def _word_coder(path: str) -> CodedWords:
     return CodedWords(encode_mixed)
 
 
+def _state(model: str) -> str:
+    return f"token-files {model}"
+
+
 def encode_texts(texts: pa.Array, model: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and where each text starts.
 
     The tokenizer never joins letters across white space, so each distinct word is coded once.
     """
     codes, ends, distinct = split_words(texts)
-    ids, starts = ids_of_words(worker_state(f"token-files {model}", lambda: _word_coder(model)), codes, ends, distinct)
+    ids, starts = ids_of_words(worker_state(_state(model), lambda: _word_coder(model)), codes, ends, distinct)
     if end_id is None:
         return ids, starts
     return np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
@@ -304,7 +308,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         writer = stream = None
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 4 << 20, _state(model)):
             if writer is None:
                 store, base = fs.FileSystem.from_uri(folder)
                 store.create_dir(base, recursive=True)
